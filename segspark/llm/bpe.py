@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare
 from .lexicon import Lexicon, compile_lexicon
@@ -202,7 +203,7 @@ def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with `ids` (array of int) and `decoded` (string) added; all other columns stay."""
     shared = _broadcast(docs.sparkSession, model or default_model())
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    schema = docs.select(*kept).schema.add("ids", "array<int>").add("decoded", "string")
+    schema = docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(shared.value)
