@@ -264,7 +264,8 @@ def scores(found: list[Block]) -> dict[str, float]:
         s[1] += len(_PUNCTUATION.findall(b.text))
         s[2] += b.links
         s[3] += 1
-    ratio = {p: math.log1p(t / n) * math.sqrt(1 + k / n) * (1 - l / t) for p, (t, k, l, n) in sums.items()}
+    # Fused as a product, smoothed as its logarithm.
+    ratio = {p: math.log1p(t / n * math.sqrt(1 + k / n) * (1 - l / t)) for p, (t, k, l, n) in sums.items()}
     x = np.array([ratio[b.path] for b in found])
     kernel = np.exp(-0.5 * (np.arange(-2, 3) / SIGMA) ** 2)
     smooth = np.convolve(x, kernel, "full")[2:-2] / np.convolve(np.ones(len(x)), kernel, "full")[2:-2]
@@ -281,7 +282,7 @@ def extract(page: str | None) -> str:
         return ""
     score = scores(found)
     mass = sum(len(b.text) for b in found)
-    # Lengths enter the score as logarithms, so the threshold compares powers.
+    # Scores are logarithms, so the threshold compares powers.
     mean = sum(math.expm1(score[b.path]) * len(b.text) for b in found) / mass
     content = [math.expm1(score[b.path]) >= THRESHOLD * mean for b in found]
     picked = sum(len(b.text) for b, c in zip(found, content, strict=True) if c)
