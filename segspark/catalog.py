@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import segspark.operators.frames
+import segspark.operators.scores
+import segspark.operators.segments
+import segspark.operators.sequences
+import segspark.operators.training
+import segspark.operators.vectors
+import segspark.sources.formats
+import segspark.streaming.online  # noqa: F401
+from segspark.registry import COVERS, ORACLE_SQL, QUERIES
+
 FLAGSHIP = "score_tnorm"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["COVERS", "FLAGSHIP", "ORACLE_SQL", "QUERIES"]
