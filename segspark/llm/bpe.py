@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import held, prepare
 from .lexicon import Lexicon, compile_lexicon
 
 #: Most bytes of model that are broadcast, distinct words that a worker remembers, and their longest.
-MODEL_LIMIT, REMEMBERED, LONGEST = 64 << 20, 400_000, 64
+MODEL_LIMIT, REMEMBERED, LONGEST = 64 << 20, 250_000, 64
 #: Rows that go into one output batch.
 ROWS = 256
 #: Unicode white space.
@@ -174,16 +174,9 @@ class Coder:
         return b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs if p[1]])
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def coder(model: Model) -> Coder:
     """One coder for each worker process and model."""
-    key = hashlib.sha256(model.block).hexdigest()
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(model)
-    return _CODERS[key]
+    return held("bpe" + hashlib.sha256(model.block).hexdigest(), lambda: Coder(model))
 
 
 def default_model() -> Model:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1024
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -17,9 +21,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     known = environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
+    # Whole texts are long: Spark's default batch of 10,000 rows would hold tens of MB in each process.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 
 
+_HELD: dict[str, Any] = {}
+
+
+def held(key: str, build: Callable[[], Any]) -> Any:
+    """What a worker process keeps from task to task: the last thing built, nothing before it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import held, prepare
 
 Q, WINDOW, LEAST = 10, 64, 24
 #: Edits for each byte of a window.
@@ -181,16 +181,9 @@ class Block:
         return max(begin, stop - w), stop, int(cost[row, col])
 
 
-_BLOCKS: dict[str, Block] = {}
-
-
 def _block(items: list[tuple]) -> Block:
     """One for each worker process and block."""
-    key = hashlib.sha256(repr(items).encode()).hexdigest()
-    if key not in _BLOCKS:
-        _BLOCKS.clear()
-        _BLOCKS[key] = Block(items)
-    return _BLOCKS[key]
+    return held("grams" + hashlib.sha256(repr(items).encode()).hexdigest(), lambda: Block(items))
 
 
 def item_blocks(benchmark: DataFrame, limit: int = BLOCK) -> Iterator[list[tuple]]:

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import held, prepare
 
 UNKNOWN = "und"
 #: Bounds of the sample for each language: documents, and letters with word gaps.
-SAMPLE_DOCS, SAMPLE_CHARS = 96, 60_000
+SAMPLE_DOCS, SAMPLE_CHARS = 96, 40_000
 #: Letters parsed in one go, codes gathered before they are parsed, and symbols told apart.
-BLOCK, GATHER, ALPHABET = 512, 1 << 20, 240
+BLOCK, GATHER, ALPHABET = 512, 1 << 19, 240
 #: A text of at least this many letters whose mean phrase is shorter is no known language.
 LEAST_LETTERS, LEAST_PHRASE = 20, 1.6
 
@@ -158,23 +158,16 @@ class Parser:
         return out
 
 
-_PARSERS: dict[str, Parser] = {}
-
-
 def parser(samples: list[tuple[str, int, str]]) -> Parser:
     """One for each worker process and sample."""
-    key = hashlib.sha256(repr(samples).encode()).hexdigest()
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(samples)
-    return _PARSERS[key]
+    return held("langid" + hashlib.sha256(repr(samples).encode()).hexdigest(), lambda: Parser(samples))
 
 
 def predictions(texts: list[str | None], own: Parser) -> list[tuple[str, float, float]]:
     """Language, score and mean phrase length of each text."""
     out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
     group: list[tuple[int, np.ndarray]] = []
-    held = 0
+    gathered = 0
 
     def parse() -> None:
         bits = own.phrases([c for _, c in group]) * np.array(own.bits)
@@ -187,10 +180,10 @@ def predictions(texts: list[str | None], own: Parser) -> list[tuple[str, float,
         if not c.any():
             continue
         group.append((i, c))
-        held += len(c)
-        if held >= GATHER:
+        gathered += len(c)
+        if gathered >= GATHER:
             parse()
-            group, held = [], 0
+            group, gathered = [], 0
     if group:
         parse()
     return out

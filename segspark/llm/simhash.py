@@ -41,7 +41,7 @@ CARRIED = 3
 #: Differing bits that a trie's first levels may have.
 BUDGET = 2
 #: Fingerprints that a task should hold, and node pairs of its frontier.
-PER_TASK, FRONTIER = 1 << 12, 1 << 19
+PER_TASK, FRONTIER = 1 << 12, 1 << 17
 
 _SPACE = re.compile(rb"[^\x20\x09-\x0d]+")
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -203,8 +203,12 @@ def _prefix_bits(count: int, per_task: int) -> int:
 
 
 def _forests(rows: DataFrame, bits: int, budget: int, free_from: int, wide: int | None) -> DataFrame:
-    """Rows (trie int, id long, key long, more array<long>) -> links (a, b) of ids, by the trie join of each trie."""
-    masks = _masks(bits, budget)
+    """Rows (trie int, id long, key long, more array<long>) -> links (a, b) of ids, by the trie join of each trie.
+
+    With `wide`, the prefixes that are dealt out may differ in one bit only, so that what is moved
+    grows with the prefix, not with its square; other tries find what this one then misses.
+    """
+    masks = _masks(bits, budget if wide is None else min(1, budget))
     prefix = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
     sent = rows.select("*", prefix.alias("p"), F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
     sent = sent.withColumn("base", F.least(F.col("p"), F.col("p").bitwiseXOR(F.col("mask").cast("long")))).withColumn("side", (F.col("p") != F.col("base")).cast("int"))
@@ -247,7 +251,7 @@ def components_of(docs: DataFrame, shingle: int = 3, budget: int = BUDGET, per_t
     return marks.join(named, "key").select("doc_id", F.col("key").alias("bits"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = WORDS, wide: int = WIDE_BUDGET, budget: int = BUDGET, per_task: int = 1 << 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = WORDS, wide: int = WIDE_BUDGET, budget: int = BUDGET, per_task: int = 1 << 20) -> DataFrame:
     """doc_id, component_id for every row: near-duplicates by similarity of shingles."""
     marks = stored(fingerprints(docs, shingle, words, repeats=False).select("doc_id", "bits", F.xxhash64("bits").alias("id")), "simhash-wide")
     distinct = stored(marks.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits")), "simhash-distinct")
