@@ -238,16 +238,26 @@ def _forests(rows: DataFrame, bits: int, budget: int, free_from: int, wide: int
     return sent.select("trie", "base", "mask", "side", "id", "key", "more").groupBy("trie", "base", "mask").applyInArrow(work, "a long, b long")
 
 
+def _named(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """id, component_id of distinct fingerprints (id, least doc_id) and their links.
+
+    Only linked ids are joined by root; each side of a join is a stored table, so that Spark can
+    split the partition of a large group.
+    """
+    roots = components(links)
+    linked = stored(roots.join(distinct, roots["node"] == distinct["id"]).select("id", "root", "least"), "simhash-linked")
+    ids = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
+    found = stored(linked.select("id", "root").join(ids, "root").select("id", "component_id"), "simhash-found")
+    return stored(distinct.join(found, "id", "left").select("id", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
+
+
 def components_of(docs: DataFrame, shingle: int = 3, budget: int = BUDGET, per_task: int = PER_TASK) -> DataFrame:
     """doc_id, bits (long), component_id: fingerprints within `budget` bits are linked, transitively."""
     marks = stored(fingerprints(docs, shingle).select("doc_id", F.col("bits")[0].alias("key")), "simhash")
     distinct = stored(marks.groupBy("key").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     rows = distinct.select(F.lit(0).alias("trie"), F.col("key").alias("id"), "key", F.expr("cast(array() as array<bigint>)").alias("more"))
     links = _forests(rows, _prefix_bits(distinct.count(), per_task), budget, 64, None)
-    roots = stored(components(links), "simhash-roots")
-    groups = distinct.join(roots, distinct["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    ids = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(groups.join(ids, "root").select("key", "component_id"), "simhash-named")
+    named = _named(distinct.withColumnRenamed("key", "id"), links).withColumnRenamed("id", "key")
     return marks.join(named, "key").select("doc_id", F.col("key").alias("bits"), "component_id")
 
 
@@ -261,10 +271,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = WORDS,
     more = F.slice(F.concat("bits", "bits"), F.col("trie") + 2, F.lit(CARRIED))
     rows = rows.select("trie", "id", "key", more.alias("more"))
     links = _forests(rows, min(_prefix_bits(count, per_task), depth - 4), budget, depth, wide)
-    roots = stored(components(links), "simhash-roots")
-    groups = distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    ids = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(groups.join(ids, "root").select("id", "component_id"), "simhash-named")
+    named = _named(distinct.select("id", "least"), links)
     return marks.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
 
 
