@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from segspark.operators.scores import r
 from segspark.registry import query
 
-_ORDER = Window.partitionBy("source").orderBy("frame_idx")
+
+def _order():
+    return Window.partitionBy("source").orderBy("frame_idx")
+
 
 def source_stats(frames: DataFrame) -> DataFrame:
     return frames.groupBy("source").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sigma"), F.count("*").alias("n"))
@@ -30,7 +33,7 @@ def histogram(frames: DataFrame, by: str, bins: int, low: float, high: float) ->
 
 def windowed_mean(frames: DataFrame, reach: int) -> DataFrame:
     """x minus the mean of the frames up to `reach` before and after it."""
-    near = _ORDER.rowsBetween(-reach, reach)
+    near = _order().rowsBetween(-reach, reach)
     return frames.withColumn("x", F.col("x") - F.avg("x").over(near))
 
 def shifted_delta(frames: DataFrame, shift: int, step: int, count: int) -> DataFrame:
@@ -39,7 +42,7 @@ def shifted_delta(frames: DataFrame, shift: int, step: int, count: int) -> DataF
     out = rows
     whole = Window.partitionBy("source")
     first_x, last_x = F.min_by("x", "frame_idx").over(whole), F.max_by("x", "frame_idx").over(whole)
-    at = lambda k: F.coalesce(F.lead("x", k).over(_ORDER) if k >= 0 else F.lag("x", -k).over(_ORDER), last_x if k >= 0 else first_x)
+    at = lambda k: F.coalesce(F.lead("x", k).over(_order()) if k >= 0 else F.lag("x", -k).over(_order()), last_x if k >= 0 else first_x)
     for i in range(count):
         out = out.withColumn(f"d{i}", at(i * step + shift) - at(i * step - shift))
     return out.drop("x")
@@ -62,7 +65,7 @@ def online_cmvn(frames: DataFrame, window: float) -> DataFrame:
 
 def smoothed_curve(curve: DataFrame) -> DataFrame:
     """1/4, 1/2, 1/4 over neighbours; the ends stay."""
-    left, right = F.lag("x").over(_ORDER), F.lead("x").over(_ORDER)
+    left, right = F.lag("x").over(_order()), F.lead("x").over(_order())
     return curve.withColumn("x", F.when(left.isNull() | right.isNull(), F.col("x")).otherwise(0.25 * left + 0.5 * F.col("x") + 0.25 * right))
 
 @query("frame_stats", "AGG-01 AGG-02 NRM-02", "SELECT source, round(avg(x) + 3e-8, 6) AS mu, round(var_pop(x) + 3e-8, 6) AS var, round(stddev_pop(x) + 3e-8, 6) AS sigma, count(*) AS n FROM frames GROUP BY source")
@@ -122,7 +125,7 @@ def _(v):
 
 @query("frame_window_llr", "WIN-05", "SELECT source, frame_idx, round(avg(x) OVER (PARTITION BY source ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) + 3e-8, 6) AS llr FROM frames QUALIFY frame_idx >= 4 AND (frame_idx - 4) % 2 = 0")
 def _(v):
-    mean = F.avg("x").over(_ORDER.rowsBetween(-4, 0))
+    mean = F.avg("x").over(_order().rowsBetween(-4, 0))
     return v.frames.select("source", "frame_idx", r(mean).alias("llr")).where("frame_idx >= 4 and (frame_idx - 4) % 2 = 0")
 
 @query(
@@ -145,7 +148,7 @@ def _(v):
 
 @query("frame_local_max", "WIN-13 DIA-08", ", n AS (SELECT source, frame_idx, x, lag(x) OVER (PARTITION BY source ORDER BY frame_idx) AS a, lead(x) OVER (PARTITION BY source ORDER BY frame_idx) AS b, avg(x) OVER (PARTITION BY source) AS mu FROM frames) SELECT source, frame_idx, x FROM n WHERE x > a AND x > b AND x > mu")
 def _(v):
-    rows = v.frames.select("source", "frame_idx", "x", F.lag("x").over(_ORDER).alias("a"), F.lead("x").over(_ORDER).alias("b"), F.avg("x").over(Window.partitionBy("source")).alias("mu"))
+    rows = v.frames.select("source", "frame_idx", "x", F.lag("x").over(_order()).alias("a"), F.lead("x").over(_order()).alias("b"), F.avg("x").over(Window.partitionBy("source")).alias("mu"))
     return rows.where("x > a and x > b and x > mu").select("source", "frame_idx", "x")
 
 @query("frame_decimation", "FIL-05", "SELECT source, frame_idx, x FROM frames WHERE frame_idx % 5 = 0")

@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from segspark.registry import query
 
-_ORDER = Window.partitionBy("source").orderBy("frame_idx")
+
+def _order():
+    return Window.partitionBy("source").orderBy("frame_idx")
 
 
 def runs(frames: DataFrame, by: str) -> DataFrame:
     """Maximal runs of equal `by` over consecutive frames of a source."""
-    new = F.coalesce((F.lag(by).over(_ORDER) != F.col(by)) | (F.lag("frame_idx").over(_ORDER) != F.col("frame_idx") - 1), F.lit(True))
-    marked = frames.select("source", "frame_idx", by, new.cast("int").alias("new")).withColumn("run", F.sum("new").over(_ORDER))
+    new = F.coalesce((F.lag(by).over(_order()) != F.col(by)) | (F.lag("frame_idx").over(_order()) != F.col("frame_idx") - 1), F.lit(True))
+    marked = frames.select("source", "frame_idx", by, new.cast("int").alias("new")).withColumn("run", F.sum("new").over(_order()))
     return marked.groupBy("source", "run", by).agg(F.min("frame_idx").alias("begin"), F.count("*").alias("length")).select("source", "begin", "length", by)
 
 
 def selected_runs(frames: DataFrame, keep: Column) -> DataFrame:
     """Runs of consecutive frames that meet a predicate."""
-    kept = frames.where(keep).select("source", "frame_idx").withColumn("island", F.col("frame_idx") - F.row_number().over(_ORDER))
+    kept = frames.where(keep).select("source", "frame_idx").withColumn("island", F.col("frame_idx") - F.row_number().over(_order()))
     return kept.groupBy("source", "island").agg(F.min("frame_idx").alias("begin"), F.count("*").alias("length")).drop("island")
 
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from segspark.operators.segments import runs
 from segspark.registry import query
 
-_ORDER = Window.partitionBy("source").orderBy("pos")
+
+def _order():
+    return Window.partitionBy("source").orderBy("pos")
 
 
 def ngrams(symbols: DataFrame, n: int) -> DataFrame:
     """source, pos, gram (symbols joined by blanks) at every position that has n symbols."""
-    parts = [F.col("sym").cast("string")] + [F.lead("sym", i).over(_ORDER).cast("string") for i in range(1, n)]
+    parts = [F.col("sym").cast("string")] + [F.lead("sym", i).over(_order()).cast("string") for i in range(1, n)]
     rows = symbols.select("source", "pos", *[p.alias(f"g{i}") for i, p in enumerate(parts)])
     whole = F.col(f"g{n - 1}").isNotNull()
     return rows.where(whole).select("source", "pos", F.concat_ws(" ", *[f"g{i}" for i in range(n)]).alias("gram"))
@@ -81,7 +83,7 @@ def _(v):
 
 @query("ngram_labels", "SEQ-02", _G + "SELECT source, pos, CASE WHEN sym = 0 AND s2 = 1 THEN '0 1' WHEN sym = 2 AND s2 = 2 THEN '2 2' ELSE 'oov' END AS label FROM g")
 def _(v):
-    two = F.concat_ws(" ", F.col("sym").cast("string"), F.lead("sym").over(_ORDER).cast("string"))
+    two = F.concat_ws(" ", F.col("sym").cast("string"), F.lead("sym").over(_order()).cast("string"))
     return v.symbols.select("source", "pos", F.when(two.isin("0 1", "2 2"), two).otherwise("oov").alias("label"))
 
 
