@@ -8,8 +8,8 @@ whole, in blocks of BLOCK letters, many blocks at a time.
 The sample is bounded by SAMPLE_DOCS documents and SAMPLE_CHARS letters for each language, and it
 is all that is collected and broadcast; each worker builds the automata from it once.
 
-Edge cases: text that is null or has no letter -> `und`, score 0. Letters that no sample has end a
-phrase. Equal code lengths go to the language with more labelled rows, then by name. A table
+Edge cases: text that is null or has no letter -> `und`, score 0. A letter that a sample does not
+have is a phrase of its own. Equal code lengths go to the language with more labelled rows, then by name. A table
 without a labelled row -> all `und`. A null doc_id counts as the text "". Repeated rows are
 answered one by one; extra columns are ignored.
 """
@@ -121,7 +121,9 @@ class Parser:
         self.tables = []
         for _, _, text in samples:
             table = suffix_automaton([self.code.get(c, self.width - 1) for c in text if c == " " or c in self.code], self.width)
-            root = np.where(table[0] >= 0, table[0], 0) * self.width
+            # From the last state, which nothing follows, the next letter always begins a phrase.
+            table = np.concatenate([table, np.full((1, self.width), -1, np.int32)])
+            root = np.where(table[0] >= 0, table[0], len(table) - 1) * self.width
             self.tables.append((np.where(table >= 0, table * self.width, -1).astype(np.int32).ravel(), root.astype(np.int32)))
 
     def codes(self, text: str) -> np.ndarray:
@@ -146,7 +148,7 @@ class Parser:
             lanes[: len(cuts[i]), k] = cuts[i]
         out = np.zeros((len(texts), len(self.tables)), np.int64)
         for lang, (table, root) in enumerate(self.tables):
-            state, count = np.zeros(len(cuts), np.int32), np.ones(len(cuts), np.int64)
+            state, count = np.full(len(cuts), len(table) - self.width, np.int32), np.zeros(len(cuts), np.int64)
             for step in range(int(sizes[0]) if len(sizes) else 0):
                 n = int(np.searchsorted(-sizes, -step, side="left"))  # lanes longer than step
                 c = lanes[step, :n]
