@@ -203,7 +203,7 @@ def _(v):
     return a.join(b, "segment").groupBy("model", "file").agg(r(F.avg(F.col("a") - F.col("b"))).alias("llr"))
 
 
-@query("score_lia_line", "SRC-12 SRC-13", "SELECT concat_ws(' ', gender, client, CASE WHEN llr >= 250 THEN '1' ELSE '0' END, segment::VARCHAR, round(llr * 1000)::BIGINT::VARCHAR) AS line FROM scores")
+@query("score_short_line", "SRC-12 SRC-13", "SELECT concat_ws(' ', gender, client, CASE WHEN llr >= 250 THEN '1' ELSE '0' END, segment::VARCHAR, round(llr * 1000)::BIGINT::VARCHAR) AS line FROM scores")
 def _(v):
     return v.scores.select(F.concat_ws(" ", "gender", "client", (F.col("llr") >= 250).cast("int").cast("string"), F.col("segment").cast("string"), F.round(F.col("llr") * 1000).cast("long").cast("string")).alias("line"))
 

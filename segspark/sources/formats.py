@@ -9,7 +9,7 @@ from segspark.operators.segments import time_to_frame
 from segspark.registry import query
 
 #: Place of gender, client, segment, decision and score in each score format.
-FIELDS = {"lia": {"gender": 0, "client": 1, "decision": 2, "segment": 3, "llr": 4}, "nist": {"gender": 3, "client": 4, "segment": 5, "decision": 6, "llr": 7}}
+FIELDS = {"short": {"gender": 0, "client": 1, "decision": 2, "segment": 3, "llr": 4}, "nist": {"gender": 3, "client": 4, "segment": 5, "decision": 6, "llr": 7}}
 
 
 def ragged(lines: Column) -> Column:
@@ -53,7 +53,7 @@ def _(v):
 def _(v):
     s = v.scores
     line = F.concat_ws(" ", "gender", "client", (F.col("llr") >= 250).cast("int").cast("string"), F.col("segment").cast("string"), F.round(F.col("llr") * 1000).cast("long").cast("string"))
-    return parse_scores(s.select(line.alias("line")), "lia").select("gender", "client", "segment", "decision", "llr")
+    return parse_scores(s.select(line.alias("line")), "short").select("gender", "client", "segment", "decision", "llr")
 
 
 @query("source_sparse_lines", "SRC-19 SRC-25", "SELECT vec_id, string_agg((pos + 1)::VARCHAR || ':' || round(x * 1000)::BIGINT::VARCHAR, ' ' ORDER BY pos) AS line FROM vectors WHERE round(x * 1000)::BIGINT <> 0 GROUP BY vec_id")
