@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import segspark.operators.diarize
 import segspark.operators.factors
 import segspark.operators.frames
 import segspark.operators.scores

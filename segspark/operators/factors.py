@@ -283,3 +283,101 @@ def _(v):
         return pd.Series(np.round(responsibilities(np.stack(x.to_numpy()), w, mu, var)[0], 4).tolist()) if len(x) else x
 
     return v.embeddings.select("vec_id", post("v").alias("gamma"))
+
+
+def weighted_subspace(t: np.ndarray, w: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Eigenvalues and basis of sum over components of weight T'T/var, and each component's diagonal in that basis."""
+    scaled = t / np.sqrt(var)[:, :, None]
+    blocks = np.einsum("cdi,cdj->cij", scaled, scaled)
+    values, q = np.linalg.eigh(np.einsum("c,cij->ij", w, blocks))
+    return values, q, np.einsum("ik,cij,jk->ck", q, blocks, q)
+
+
+def approximate_factors(stats: DataFrame, by: str, t: np.ndarray, mu: np.ndarray, var: np.ndarray, w: np.ndarray, mode: str = "weights") -> DataFrame:
+    """by, w: factors with the inverse in one basis for all rows, so a row costs rank, not rank cubed.
+
+    weights: a row's counts are taken to be spread like the mixture's weights; eigen: each component
+    is taken to be diagonal in the weighted subspace's basis.
+    """
+    if mode not in ("weights", "eigen"):
+        raise ValueError(f"unknown mode {mode}")
+    c, d = mu.shape
+    values, q, diagonal = weighted_subspace(t, w, var)
+    right = t / var[:, :, None]
+
+    def work(batches):
+        for b in batches:
+            if len(b):
+                n = _dense(b["n"])
+                f = _dense(b["f"]).reshape(-1, c, d) - n[:, :, None] * mu
+                spread = n.sum(1, keepdims=True) * values if mode == "weights" else n @ diagonal
+                yield pd.DataFrame({by: b[by], "w": list((np.einsum("ucd,cdi->ui", f, right) @ q / (1 + spread)) @ q.T)})
+
+    return stats.select(by, "n", "f").mapInPandas(work, f"{by} {dict(stats.dtypes)[by]}, w array<double>")
+
+
+def channel_factors(sessions: DataFrame, by: str, offset: str, u: np.ndarray, mu: np.ndarray, var: np.ndarray) -> DataFrame:
+    """by, x, and the rest f - N(mu + Ux) around the channel, of sessions whose speaker's offset (flattened) is known."""
+    c, d = mu.shape
+
+    def work(batches):
+        for b in batches:
+            if len(b):
+                n, f = _dense(b["n"]), _dense(b["f"]).reshape(-1, c, d)
+                own = _dense(b[offset]).reshape(-1, c, d)
+                x, _ = _latent(n, f - n[:, :, None] * (mu + own), u, var)
+                rest = f - n[:, :, None] * (mu + np.einsum("cdi,ui->ucd", u, x))
+                yield pd.DataFrame({by: b[by], "x": list(x), "n": list(n), "rest": list(rest.reshape(len(f), -1))})
+
+    return sessions.select(by, "n", "f", offset).mapInPandas(work, f"{by} {dict(sessions.dtypes)[by]}, x array<double>, n array<double>, rest array<double>")
+
+
+def train_targets(sessions: DataFrame, session: str, speaker: str, u: np.ndarray, mu: np.ndarray, var: np.ndarray, tau: float = 16.0, rounds: int = 2) -> DataFrame:
+    """speaker, offset: what a speaker's means differ by once each session's channel is taken off.
+
+    In turn: channels given the offsets, then offsets (relevance tau) from what the channels leave,
+    added up over a speaker's sessions by position so that partial sums combine.
+    """
+    zero = F.array_repeat(F.lit(0.0), int(mu.size))
+    offsets = sessions.select(speaker).distinct().withColumn("offset", zero)
+    c, d = mu.shape
+    for _ in range(rounds):
+        rest = channel_factors(sessions.join(offsets, speaker), session, "offset", u, mu, var).withColumnRenamed("rest", "f")
+        total = added(rest.join(sessions.select(session, speaker), session), speaker)
+        n = lambda i: F.get("n", F.floor(i / d).cast("int"))
+        offsets = total.select(speaker, F.transform("f", lambda f, i: f / (n(i) + tau)).alias("offset"))
+    return offsets
+
+
+@query("ivector_weight_approximation", "TV-11")
+def _(v):
+    w, mu, var = _world(v)
+    stats = session_stats(v.embeddings.select("vec_id", "v"), "vec_id", w, mu, var)
+    return approximate_factors(stats, "vec_id", train_subspace(stats, mu, var, 3, 2), mu, var, w).select("vec_id", F.transform("w", lambda x: F.round(x, 4)).alias("w"))
+
+
+@query("ivector_eigen_approximation", "TV-12")
+def _(v):
+    w, mu, var = _world(v)
+    stats = session_stats(v.embeddings.select("vec_id", "v"), "vec_id", w, mu, var)
+    return approximate_factors(stats, "vec_id", train_subspace(stats, mu, var, 3, 2), mu, var, w, "eigen").select("vec_id", F.transform("w", lambda x: F.round(x, 4)).alias("w"))
+
+
+def _sessions(v):
+    w, mu, var = _world(v)
+    sessions = session_stats(v.embeddings.select("vec_id", "v"), "vec_id", w, mu, var).join(v.embeddings.select("vec_id", "label"), "vec_id")
+    return sessions, train_subspace(sessions, mu, var, 2, 2), mu, var
+
+
+@query("train_target_factors", "LFA-11 LFA-08")
+def _(v):
+    sessions, u, mu, var = _sessions(v)
+    return train_targets(sessions, "vec_id", "label", u, mu, var).select("label", F.transform("offset", lambda x: F.round(x, 4)).alias("offset"))
+
+
+@query("known_speaker_channel", "LFA-09")
+def _(v):
+    """Channel factors of each session given the offset of its speaker's trained model."""
+    sessions, u, mu, var = _sessions(v)
+    known = sessions.join(train_targets(sessions, "vec_id", "label", u, mu, var), "label")
+    return channel_factors(known, "vec_id", "offset", u, mu, var).select("vec_id", F.transform("x", lambda x: F.round(x, 4)).alias("x"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,3 +213,117 @@ def _(v):
 @query("score_running_mean", "ONL-07", "SELECT client, segment, round(avg(llr) OVER (PARTITION BY client ORDER BY segment) + 3e-8, 6) AS llr FROM scores")
 def _(v):
     return v.scores.select("client", "segment", r(F.avg("llr").over(Window.partitionBy("client").orderBy("segment"))).alias("llr"))
+
+
+@query(
+    "score_online_znorm",
+    "POST-15",
+    """, h AS (SELECT client, segment, llr, avg(llr) OVER w AS mu, stddev_pop(llr) OVER w AS sigma FROM scores WINDOW w AS (PARTITION BY client ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT client, segment, round((llr - mu) / CASE WHEN sigma > 1e-9 THEN sigma END + 3e-8, 6) AS llr FROM h""",
+)
+def _(v):
+    """A client's score by the mean and deviation of the scores it had before; null until those differ."""
+    before = Window.partitionBy("client").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    h = v.scores.select("client", "segment", "llr", F.avg("llr").over(before).alias("mu"), F.stddev_pop("llr").over(before).alias("sigma"))
+    return h.select("client", "segment", r((F.col("llr") - F.col("mu")) / F.when(F.col("sigma") > 1e-9, F.col("sigma"))).alias("llr"))
+
+
+def nearest_cohort(rows: DataFrame, k: int) -> DataFrame:
+    """(client, cohort): the k other clients with the nearest mean score. Clients are models, so few; ties by name."""
+    means = rows.groupBy("client").agg(F.avg("llr").alias("m"))
+    other = means.select(F.col("client").alias("cohort"), F.col("m").alias("c_m"))
+    near = Window.partitionBy("client").orderBy(F.abs(F.col("m") - F.col("c_m")), "cohort")
+    pairs = means.join(other, F.col("client") != F.col("cohort")).withColumn("k", F.row_number().over(near))
+    return pairs.where(F.col("k") <= k).select("client", "cohort")
+
+
+@query(
+    "score_adapted_tnorm",
+    "POST-15 TOP-05",
+    """, m AS (SELECT client, avg(llr) AS m FROM scores GROUP BY client), k AS (SELECT a.client, b.client AS cohort, row_number() OVER (PARTITION BY a.client ORDER BY abs(a.m - b.m), b.client) AS k FROM m a JOIN m b ON a.client <> b.client),
+    t AS (SELECT k.client, c.segment, avg(c.llr) AS mu, stddev_pop(c.llr) AS sigma FROM k JOIN scores c ON c.client = k.cohort WHERE k.k <= 3 GROUP BY 1, 2)
+    SELECT s.client, s.segment, round((s.llr - t.mu) / CASE WHEN t.sigma > 1e-9 THEN t.sigma END + 3e-8, 6) AS llr FROM scores s JOIN t USING (client, segment)""",
+)
+def _(v):
+    """T-norm whose cohort is chosen for each client: the three nearest."""
+    cohort = v.scores.select(F.col("client").alias("cohort"), "segment", F.col("llr").alias("c_llr"))
+    t = nearest_cohort(v.scores, 3).join(cohort, "cohort").groupBy("client", "segment").agg(F.avg("c_llr").alias("mu"), F.stddev_pop("c_llr").alias("sigma"))
+    return v.scores.join(t, ["client", "segment"]).select("client", "segment", r((F.col("llr") - F.col("mu")) / F.when(F.col("sigma") > 1e-9, F.col("sigma"))).alias("llr"))
+
+
+@query("score_lookup", "JOI-09", ", other AS (SELECT event_type AS client, user_id AS segment, max(value) AS llr FROM events WHERE event_type <> (SELECT min(event_type) FROM events) GROUP BY 1, 2) SELECT s.client, s.segment, round(o.llr + 3e-8, 6) AS llr FROM scores s LEFT JOIN other o USING (client, segment)")
+def _(v):
+    """Scores of another system's file by trial; null where that system has none."""
+    events = v.table("events")
+    known = events.join(F.broadcast(events.agg(F.min("event_type").alias("none"))), F.col("event_type") != F.col("none"))
+    other = known.groupBy(F.col("event_type").alias("client"), F.col("user_id").alias("segment")).agg(F.max("value").alias("other"))
+    return v.scores.join(other, ["client", "segment"], "left").select("client", "segment", r("other").alias("llr"))
+
+
+@query("score_nearest_target", "ONL-04", "SELECT client, segment, other FROM (SELECT a.client, a.segment, b.client AS other, row_number() OVER (PARTITION BY a.client, a.segment ORDER BY abs(a.llr - b.llr), b.client) AS k FROM scores a JOIN scores b ON a.segment = b.segment AND a.client <> b.client) WHERE k = 1")
+def _(v):
+    """The other target whose score of the same segment is nearest: a neighbour in order of scores."""
+    rows = v.scores.select("client", "segment", "llr")
+    # Equal scores are nearest, the least name first; else the neighbour below (its least name) or above.
+    same = Window.partitionBy("segment", "llr").orderBy("client").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("first", F.first("client").over(same)).withColumn("second", F.nth_value("client", 2).over(same))
+    level = rows.select("segment", "llr", F.col("first").alias("name")).distinct()
+    around = Window.partitionBy("segment").orderBy("llr")
+    level = level.select("segment", "llr", *[f(c).over(around).alias(f"{n}_{c}") for n, f in (("low", F.lag), ("high", F.lead)) for c in ("llr", "name")])
+    down, up = F.col("llr") - F.col("low_llr"), F.col("high_llr") - F.col("llr")
+    below = F.col("high_name").isNull() | (down < up) | ((down == up) & (F.col("low_name") < F.col("high_name")))
+    beside = F.when(F.col("low_name").isNotNull() & below, F.col("low_name")).otherwise(F.col("high_name"))
+    twin = F.when(F.col("client") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    return rows.join(level, ["segment", "llr"]).select("client", "segment", F.coalesce(twin, beside).alias("other")).where("other is not null")
+
+
+@query("iteration_schedule", "SCA-18", "SELECT i::INT AS round, round(0.5 + (0.01 - 0.5) * i / 9.0 + 3e-8, 6) AS value FROM range(0, 10) t(i)")
+def _(v):
+    """A parameter that goes from 0.5 to 0.01 in ten rounds, a straight line."""
+    return v.spark.range(0, 10).select(F.col("id").cast("int").alias("round"), r(0.5 + (0.01 - 0.5) * F.col("id") / 9.0).alias("value"))
+
+
+def density(x: Column, mu: Column, var: Column) -> Column:
+    """Log density of a Gaussian."""
+    return -0.5 * (F.ln(2 * math.pi * var) + (x - mu) * (x - mu) / var)
+
+
+@query(
+    "score_by_label",
+    "SCO-02 JOI-02 AGG-09",
+    """, f AS (SELECT source, source % 5 AS client, event_type AS label, x FROM frames), world AS (SELECT avg(x) AS mu, var_pop(x) AS var FROM frames),
+    own AS (SELECT client, avg(x) AS mu, var_pop(x) AS var FROM f WHERE source % 2 = 0 GROUP BY client), lab AS (SELECT client, label, avg(x) AS mu, var_pop(x) AS var FROM f WHERE source % 2 = 0 GROUP BY client, label HAVING count(*) >= 2 AND var_pop(x) > 0),
+    llr AS (SELECT o.client, f.source, f.label, avg(-0.5 * (ln(2 * pi() * coalesce(l.var, o.var)) + (f.x - coalesce(l.mu, o.mu)) ** 2 / coalesce(l.var, o.var)) + 0.5 * (ln(2 * pi() * w.var) + (f.x - w.mu) ** 2 / w.var)) AS llr FROM f CROSS JOIN own o CROSS JOIN world w LEFT JOIN lab l ON l.client = o.client AND l.label = f.label WHERE f.source % 2 = 1 GROUP BY 1, 2, 3),
+    n AS (SELECT source, label, count(*) AS n FROM segments GROUP BY 1, 2) SELECT client, source, round(sum(llr * n) / sum(n) + 3e-8, 6) AS llr FROM llr JOIN n USING (source, label) GROUP BY 1, 2""",
+)
+def _(v):
+    """A model for each client and label, the client's own where that lacks; labels weigh by their segments.
+
+    A label's sums of x and x * x give the mean log density under any Gaussian, so frames meet no model.
+    """
+    f = v.frames.select("source", (F.col("source") % 5).alias("client"), F.col("event_type").alias("label"), "x")
+    train, n = f.where("source % 2 = 0"), v.segments.groupBy("source", "label").agg(F.count("*").alias("n"))
+    model = lambda *by: train.groupBy(*by).agg(F.avg("x").alias("_".join(("mu", *by))), F.var_pop("x").alias("_".join(("var", *by))), F.count("*").alias("count"))
+    labelled = model("client", "label").where("count >= 2 and var_client_label > 0").drop("count")
+    world = f.agg(F.avg("x").alias("w_mu"), F.var_pop("x").alias("w_var"))
+    tests = f.where("source % 2 = 1").groupBy("source", "label").agg(F.avg("x").alias("m"), F.avg(F.col("x") * F.col("x")).alias("s"))
+    rows = tests.join(n, ["source", "label"]).crossJoin(F.broadcast(model("client").drop("count"))).crossJoin(F.broadcast(world)).join(F.broadcast(labelled), ["client", "label"], "left")
+    mean = lambda mu, var: -0.5 * (F.ln(2 * math.pi * var) + (F.col("s") - 2 * mu * F.col("m") + mu * mu) / var)
+    llr = mean(F.coalesce("mu_client_label", "mu_client"), F.coalesce("var_client_label", "var_client")) - mean(F.col("w_mu"), F.col("w_var"))
+    return rows.groupBy("client", "source").agg(r(F.sum(llr * F.col("n")) / F.sum("n")).alias("llr"))
+
+
+@query(
+    "score_weighted_llr",
+    "SCO-13",
+    """, w AS (SELECT avg(x) AS mu, var_pop(x) AS var FROM frames), c AS (SELECT event_type AS client, avg(x) AS mu, var_pop(x) AS var FROM frames WHERE source % 2 = 0 GROUP BY 1),
+    l AS (SELECT f.source AS segment, c.client, f.x, -0.5 * (ln(2 * pi() * c.var) + (f.x - c.mu) ** 2 / c.var) + 0.5 * (ln(2 * pi() * w.var) + (f.x - w.mu) ** 2 / w.var) AS llr FROM frames f, c, w)
+    SELECT segment, client, round(avg(llr) + 3e-8, 6) AS basic, round(sum(x * llr) / sum(x) + 3e-8, 6) AS weighted FROM l GROUP BY 1, 2""",
+)
+def _(v):
+    """Mean log likelihood ratio of a client's Gaussian against the world's, plain and weighted by frame; clients are few."""
+    world = v.frames.agg(F.avg("x").alias("w_mu"), F.var_pop("x").alias("w_var"))
+    clients = v.frames.where("source % 2 = 0").groupBy(F.col("event_type").alias("client")).agg(F.avg("x").alias("mu"), F.var_pop("x").alias("var"))
+    rows = v.frames.select(F.col("source").alias("segment"), "x").crossJoin(F.broadcast(clients)).crossJoin(F.broadcast(world))
+    rows = rows.withColumn("llr", density(F.col("x"), F.col("mu"), F.col("var")) - density(F.col("x"), F.col("w_mu"), F.col("w_var")))
+    return rows.groupBy("segment", "client").agg(r(F.avg("llr")).alias("basic"), r(F.sum(F.col("x") * F.col("llr")) / F.sum("x")).alias("weighted"))

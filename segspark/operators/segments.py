@@ -191,3 +191,20 @@ def _(v):
 def _(v):
     order = Window.partitionBy("source").orderBy("begin")
     return v.segments.select("source", "begin", "length", (F.sum("length").over(order) - F.col("length")).alias("before"))
+
+
+@query(
+    "segment_compare",
+    "WIN-17 AGG-03",
+    """, s AS (SELECT f.source, f.x > 50 AS high, f.event_type FROM frames f) SELECT source, count(*) AS frames, count(*) FILTER (high) AS reference, count(*) FILTER (event_type = (SELECT min(event_type) FROM events)) AS found, count(*) FILTER (high AND event_type = (SELECT min(event_type) FROM events)) AS agreed FROM s GROUP BY source""",
+)
+def _(v):
+    """Frames of a recording, those of a reference segmentation, of a found one, and of both."""
+    first = v.table("events").agg(F.min("event_type").alias("label"))
+    found = v.segments.join(F.broadcast(first), "label").select("source", "begin", "length")
+    total = lambda df, name: df.groupBy("source").agg(F.sum("length").alias(name))
+    agreed = overlaps(found, v.segments_b).select("source", (F.col("end") - F.col("start")).alias("length"))
+    rows = total(v.segments, "frames")
+    for part, name in ((v.segments_b, "reference"), (found, "found"), (agreed, "agreed")):
+        rows = rows.join(total(part, name), "source", "left")
+    return rows.select("source", "frames", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("reference", "found", "agreed")])

@@ -18,6 +18,8 @@ from segspark.registry import query
 
 #: Most dimensions whose square is gathered on the driver.
 DIMS = 4096
+#: Keys whose monomial sums a task holds.
+KEYS = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -334,13 +336,79 @@ def _(v):
     return v.models.join(world, "pos").select("label", "pos", r(0.5 * F.col("x") + 0.5 * F.col("w")).alias("x"))
 
 
-def cubic(v: Column, n: int) -> Column:
-    """All monomials of degree up to 3 of the first n coordinates: (n + 1)(n + 2)(n + 3) / 6 of them."""
-    x = [F.lit(1.0)] + [v[i] for i in range(n)]
-    return F.array(*[x[i] * x[j] * x[k] for i in range(n + 1) for j in range(i, n + 1) for k in range(j, n + 1)])
+def cubic(v: Column) -> Column:
+    """All monomials of degree up to 3 of n coordinates, (n + 1)(n + 2)(n + 3) / 6 of them, by their places in order."""
 
+    def terms(x: Column) -> Column:
+        rest = lambda i: F.slice(x, i + 1, F.size(x))
+        third = lambda a, b, at: F.transform(rest(at), lambda c: a * b * c)
+        return F.flatten(F.transform(x, lambda a, i: F.flatten(F.transform(rest(i), lambda b, j: third(a, b, i + j)))))
 
-@query("cubic_expansion", "SCA-14", ", p AS (SELECT vec_id, pos + 1 AS pos, x FROM vectors WHERE pos < 3 UNION ALL SELECT vec_id, 0, 1.0 FROM embeddings) SELECT vec_id, count(*) AS terms, round(sum(a.x * b.x * c.x) + 3e-8, 6) AS total FROM p a JOIN p b USING (vec_id) JOIN p c USING (vec_id) WHERE a.pos <= b.pos AND b.pos <= c.pos GROUP BY vec_id")
+    # A lambda's variable is computed once.
+    return F.flatten(F.transform(F.array(F.concat(F.array(F.lit(1.0)), v)), terms))
+
+
+def cubic_places(n: int) -> np.ndarray:
+    """Places (i, j, k), i <= j <= k, of the monomials over (1, x1 .. xn)."""
+    i, j, k = np.meshgrid(*[np.arange(n + 1)] * 3, indexing="ij")
+    keep = (i <= j) & (j <= k)
+    return np.stack([i[keep], j[keep], k[keep]])
+
+
+def mean_expansion(rows: DataFrame, by: str) -> DataFrame:
+    """by, i, j, k, x: mean of each monomial over the rows of a key.
+
+    A task adds up what it has of a key and hands on at most KEYS keys' sums at a time, so a key
+    with most of the rows costs one block a task.
+    """
+    dims = rows.select(F.max(F.size("v"))).first()[0] or 0
+    places = cubic_places(dims)
+    kind = dict(rows.dtypes)[by]
+
+    def block(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame({by: list(sums), "n": [n for n, _ in sums.values()], "s": [s for _, s in sums.values()]})
+
+    def work(parts):
+        sums: dict = {}
+        for part in parts:
+            for key, group in part.groupby(by):
+                x = np.column_stack([np.ones(len(group)), np.stack(group["v"].to_numpy())])
+                total = np.zeros(places.shape[1])
+                for row in x:
+                    total += row[places[0]] * row[places[1]] * row[places[2]]
+                n, s = sums.get(key, (0, 0.0))
+                sums[key] = (n + len(x), s + total)
+                if len(sums) >= KEYS:
+                    yield block(sums)
+                    sums = {}
+        if sums:
+            yield block(sums)
+
+    parts = rows.select(by, "v").mapInPandas(work, f"{by} {kind}, n long, s array<double>")
+    sums = parts.select(by, "n", F.posexplode("s").alias("t", "s")).groupBy(by, "t").agg((F.sum("s") / F.sum("n")).alias("x"))
+    names = rows.sparkSession.createDataFrame(pd.DataFrame({"t": np.arange(places.shape[1], dtype=np.int32), "i": places[0], "j": places[1], "k": places[2]}))
+    return sums.join(F.broadcast(names), "t").drop("t")
+
+
+def root_normalised(means: DataFrame) -> DataFrame:
+    """Each monomial over the root of its mean square over the keys; null where that is 0."""
+    root = means.groupBy("i", "j", "k").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("root"))
+    return means.join(root, ["i", "j", "k"]).withColumn("x", F.col("x") / F.when(F.col("root") > 0, F.col("root"))).drop("root")
+
+
+_P = ", p AS (SELECT vec_id, label, pos + 1 AS pos, x FROM vectors UNION ALL SELECT vec_id, label, 0, 1.0 FROM embeddings)"
+
+
+@query("cubic_expansion", "SCA-14", f"{_P} SELECT vec_id, count(*) AS terms, round(sum(a.x * b.x * c.x) + 3e-8, 6) AS total FROM p a JOIN p b USING (vec_id) JOIN p c USING (vec_id) WHERE a.pos <= b.pos AND b.pos <= c.pos GROUP BY vec_id")
 def _(v):
-    out = v.embeddings.select("vec_id", cubic(F.col("v"), 3).alias("m"))
+    out = v.embeddings.select("vec_id", cubic(F.col("v")).alias("m"))
     return out.select("vec_id", F.size("m").cast("long").alias("terms"), r(F.aggregate("m", F.lit(0.0), lambda t, x: t + x)).alias("total"))
+
+
+@query(
+    "cubic_mean_expansion",
+    "SCA-15",
+    f"{_P}, m AS (SELECT a.label, a.pos AS i, b.pos AS j, c.pos AS k, avg(a.x * b.x * c.x) AS x FROM p a JOIN p b USING (vec_id) JOIN p c USING (vec_id) WHERE a.pos <= b.pos AND b.pos <= c.pos GROUP BY 1, 2, 3, 4) SELECT label, i::BIGINT AS i, j::BIGINT AS j, k::BIGINT AS k, round(x / sqrt(avg(x * x) OVER (PARTITION BY i, j, k)) + 3e-8, 6) AS x FROM m",
+)
+def _(v):
+    return root_normalised(mean_expansion(v.embeddings, "label")).select("label", *[F.col(c).cast("long").alias(c) for c in "ijk"], r("x").alias("x"))
