@@ -24,3 +24,13 @@ def query(name: str, covers: str, sql: str | None = None):
         return f
 
     return add
+
+
+#: Inventory rows that are functions or services, not queries over tables.
+LIBRARY: dict[str, tuple[str, ...]] = {
+    "sources.config": ("SRC-01",),
+    "sources.audio": ("SRC-26",),
+    "sources.formats.snapshot, restored": ("JFA-02",),
+    "service.Recogniser": ("ONL-08", "ONL-10"),
+    "service.Server": ("ONL-11", "ONL-12", "ONL-13", "ONL-14", "ONL-15"),
+}

@@ -37,6 +37,16 @@ def parse_scores(lines: DataFrame, form: str, column: str = "line") -> DataFrame
     return lines.select(*[(w[i].cast("double") if k == "llr" else w[i]).alias(k) for k, i in FIELDS[form].items()])
 
 
+def snapshot(rows: DataFrame, path: str) -> DataFrame:
+    """Statistics or models written as Parquet, for a later `restored`; returns what was written."""
+    rows.write.mode("overwrite").parquet(path)
+    return restored(rows.sparkSession, path, rows.schema)
+
+
+def restored(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
 def sparse_line(v: Column) -> Column:
     """i:v pairs of the non-zero entries, counted from 1, values in thousandths."""
     pairs = F.transform(v, lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), F.round(x * 1000).cast("long").cast("string")))
