@@ -5,8 +5,9 @@ parsed against each automaton into longest matches; a language's code length is
 phrases times the bits of a position in its sample, and the shortest code wins. Texts are parsed
 whole, in blocks of BLOCK letters, many blocks at a time.
 
-The sample is bounded by SAMPLE_DOCS documents and SAMPLE_CHARS letters for each language, and it
-is all that is collected and broadcast; each worker builds the automata from it once.
+The sample is about SAMPLE_DOCS documents and at most SAMPLE_CHARS letters for each language, shared
+out evenly so that one long document can't fill it. It is all that is broadcast, at most SHARE times
+as much is collected, and each worker builds the automata from it once.
 
 Edge cases: text that is null or has no letter -> `und`, score 0. A letter that a sample does not
 have is a phrase of its own. Equal code lengths go to the language with more labelled rows, then by name. A table
@@ -31,6 +32,8 @@ from .common import held, prepare
 UNKNOWN = "und"
 #: Bounds of the sample for each language: documents, and letters with word gaps.
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 40_000
+#: Even parts of a language's letters that one document may give.
+SHARE = 8
 #: Letters parsed in one go, codes gathered before they are parsed, and symbols told apart.
 BLOCK, GATHER, ALPHABET = 512, 1 << 19, 240
 #: A text of at least this many letters whose mean phrase is shorter is no known language.
@@ -44,29 +47,43 @@ def held_out() -> F.Column:
 
 
 def sample(docs: DataFrame, seed: int = 11) -> list[tuple[str, int, str]]:
-    """(language, labelled rows, text) for each language, by falling rows, then name."""
+    """(language, labelled rows, text) for each language, by falling rows, then name.
+
+    Texts are drawn by their hash and taken once, so copies don't crowd out others, however many
+    rows hold them. A document gives at most SHARE times its even part of the letters.
+    """
     rows = docs.where(F.col("lang").isNotNull() & ~held_out())
     counts = dict(rows.groupBy("lang").count().collect())
     if not counts:
         return []
-    chance = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / n))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 40))
-    drawn = rows.where(draw / F.lit(float(1 << 40)) < chance).where(F.col("text").isNotNull())
+    of = lambda value: F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, value(n))]), F.col("lang"))
+    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40))
+    drawn = rows.where(F.col("text").isNotNull()).where(draw / F.lit(float(1 << 40)) < of(lambda n: min(1.0, SAMPLE_DOCS / n)))
+    most = of(lambda n: min(SAMPLE_CHARS, SHARE * SAMPLE_CHARS // min(n, SAMPLE_DOCS)))
+    once = drawn.select("lang", draw.alias("draw"), F.substring("text", F.lit(1), most).alias("text")).dropDuplicates(["lang", "draw"])
     found: dict[str, list] = {k: [] for k in counts}
-    for lang, n, text in drawn.select("lang", draw, F.substring("text", 1, SAMPLE_CHARS)).collect():
-        found[lang].append((n, text))
+    for lang, n, text in once.collect():
+        found[lang].append((n, plain(text)))
     out = []
     for lang, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
-        text = ""
-        for _, t in sorted(found[lang]):
-            text += plain(t)
-            if len(text) >= SAMPLE_CHARS:
-                break
-        if text.strip():
-            out.append((lang, n, text[:SAMPLE_CHARS]))
+        texts = [t for _, t in sorted(found[lang]) if t.strip()]
+        part = even_part([len(t) for t in texts], SAMPLE_CHARS)
+        if texts:
+            out.append((lang, n, "".join(t[:part] for t in texts)))
     return out
 
 
+def even_part(lengths: list[int], budget: int) -> int:
+    """The longest part such that texts cut to it fit the budget together."""
+    left, part = budget, budget
+    for i, n in enumerate(sorted(lengths)):
+        part = left // (len(lengths) - i)
+        if n > part:
+            return part
+        left -= n
+    return max([part, *lengths])
+
+
 def plain(text: str) -> str:
     """Lower-case letters, each run of other characters as one blank, blanks at both ends."""
     return " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
@@ -117,7 +134,8 @@ class Parser:
         self.width = len(letters) + 2  # 0 is the blank, the last is any other letter
         self.code = {c: i + 1 for i, c in enumerate(letters)} | {" ": 0}
         self.points = np.array([self.code.get(chr(p), self.width - 1) if chr(p).isalpha() else 0 for p in range(_POINTS)], np.uint8)
-        self.bits = [math.log2(max(2, len(s[2]))) for s in samples]
+        # Samples of nearly one size cost the same, so that equal phrase counts are a tie.
+        self.bits = [round(math.log2(max(2, len(s[2]))), 2) for s in samples]
         self.tables = []
         for _, _, text in samples:
             table = suffix_automaton([self.code.get(c, self.width - 1) for c in text if c == " " or c in self.code], self.width)

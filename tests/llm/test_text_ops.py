@@ -70,6 +70,22 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
 
 
+def test_a_long_text_and_copies_do_not_fill_the_sample(spark):
+    french = "le chat est sur la table et il dort toute la journée près de la fenêtre"
+    rows = [(i, "a." * 50000, "fr") for i in range(300)] + [(1000 + i, f"{french} {i}", "fr") for i in range(300)]
+    rows += [(2000 + i, f"der hund und die katze schlafen den ganzen tag vor dem alten haus {i}", "de") for i in range(300)]
+    docs = spark.createDataFrame([*rows, (5000, french, None)], "doc_id long, text string, lang string").repartition(4)
+    texts = {lang: text for lang, _, text in langid.sample(docs)}
+    assert french.split()[1] in texts["fr"] and max(map(len, texts.values())) <= langid.SAMPLE_CHARS
+    assert [r["lang_pred"] for r in langid.identify(docs.where("doc_id = 5000")).collect()] == ["und"]
+    assert [r["lang_pred"] for r in langid.digest(docs).where("doc_id = 5000").collect()] == ["fr"]
+
+
+def test_even_part():
+    assert langid.even_part([10, 100, 100], 60) == 25 and langid.even_part([3, 4], 60) >= 4
+    assert langid.even_part([], 60) == 60 and langid.even_part([100], 60) == 60
+
+
 def test_language_edges(spark):
     rows = {r["doc_id"]: r for r in langid.digest(table(spark, [*EDGES, "12 !", "мир"], "en")).collect()}
     for i in (0, 1, 2, len(EDGES)):
