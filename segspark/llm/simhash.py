@@ -9,10 +9,10 @@ arrays with a bounded frontier. Each task returns a spanning forest of its links
 components joins these forests.
 
 `components_of` links fingerprints of one word within `budget` bits, exactly. `near_duplicates` is
-for similarity: fingerprints of WORDS independent words, a trie for each word whose budget holds
-for its first levels only, and a check of 256 bits; here a shingle counts once for a text. A pair
-of similarity 0.8 is expected to differ in 39 of 256 bits and is found in one of the tries with
-probability over 0.97, equal shingle sets surely; at similarity 0.6 fewer than 1 in 20 pairs pass.
+for similarity: texts are sets of shingles, in which a shingle counts once. Sets that share one of
+BANDS keys made of ROWS minimum hashes each are candidates, and two are linked if and only if the
+Jaccard similarity of the sets themselves is SIMILARITY or more. A pair at that similarity is no
+candidate with chance 7e-6, whatever the number of rows; equal sets are one from the start.
 
 Edge cases: null text is empty; a text of fewer words than a shingle is one shingle; a text without
 words has fingerprint zero and is linked like any other. Repeated rows are one group. A null doc_id
@@ -34,15 +34,23 @@ from .common import prepare, stored
 from .components import components
 
 SEED = 42
-#: Words of a fingerprint in near_duplicates, its shingles, and the differing bits of 256 that still link.
-WORDS, SHINGLE, WIDE_BUDGET = 12, 5, 46
-#: Further words that a leaf carries, so that a check sees 64 * (1 + CARRIED) bits.
-CARRIED = 3
-#: Differing bits that a trie's first levels may have.
+#: Words of a shingle in near_duplicates, and the Jaccard similarity that links.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Keys of a shingle set, and the minima that make one: a pair at SIMILARITY shares none with chance (1 - 0.8 ** 5) ** 30 = 7e-6.
+BANDS, ROWS = 30, 5
+#: Standard deviations by which the share of equal minima may fall short of the similarity before two sets are told apart by it (chance 3e-7).
+SHORT = 5
+#: Members of a key that are compared all with all at once, and rounds of hubs before that at most.
+PAIRED, ROUNDS = 1 << 12, 4
+#: Differing bits that link two fingerprints in components_of.
 BUDGET = 2
 #: Fingerprints that a task should hold, and node pairs of its frontier.
 PER_TASK, FRONTIER = 1 << 12, 1 << 17
 
+_random = np.random.default_rng(SEED)
+_FACTORS = _random.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_TERMS = _random.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint32)
+
 _SPACE = re.compile(rb"[^\x20\x09-\x0d]+")
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -261,18 +269,134 @@ def components_of(docs: DataFrame, shingle: int = 3, budget: int = BUDGET, per_t
     return marks.join(named, "key").select("doc_id", F.col("key").alias("bits"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = WORDS, wide: int = WIDE_BUDGET, budget: int = BUDGET, per_task: int = 1 << 20) -> DataFrame:
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of a set of hashes under each of BANDS * ROWS functions."""
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(high), 1 << 9):
+        np.minimum(least, (high[i : i + (1 << 9), None] * _FACTORS + _TERMS).min(axis=0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """Minima of n sets -> n x BANDS keys; two sets share a key with chance similarity ** ROWS."""
+    parts = least.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    keys = _mixed(np.arange(BANDS, dtype=np.uint64), 1) + np.zeros((len(parts), 1), np.uint64)
+    for i in range(ROWS):
+        keys = _mixed(keys ^ parts[:, :, i], i + 2)
+    return keys
+
+
+def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """row, doc_id, text -> row, doc_id, id of the shingle set, its size, its bands, and the low bytes of its minima."""
+    prepare(rows.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(2)]
+            ids = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            sizes = np.array([len(h) for h in sets], np.int32)
+            keys = [minima(h) for h in sets if len(h)]
+            ends = np.concatenate([[0], np.cumsum(np.minimum(sizes, 1))]) * BANDS
+            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band_keys(np.stack(keys)).view(np.int64).ravel() if keys else np.zeros(0, np.int64)))
+            low = iter(keys)
+            marks = [next(low).astype(np.uint8).tobytes() if len(h) else b"" for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array(sizes), bands, pa.array(marks, pa.binary())], ["row", "doc_id", "id", "size", "bands", "mark"])
+
+    return rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "row long, doc_id long, id long, size int, bands array<long>, mark binary")
+
+
+def _alike(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs (id, id_b, mark, mark_b) without those whose marks agree too seldom for similarity `least`."""
+    count = BANDS * ROWS
+    fewest = count * least - SHORT * (count * least * (1 - least)) ** 0.5
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, count) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= fewest))
+
+    return pairs.select("id", "id_b", "mark", "mark_b").mapInArrow(work, "id long, id_b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of pairs (a, b) of set ids whose shingle sets have a Jaccard similarity of `least` or more."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = stored(sets.join(wanted, "id").select("id", F.col("least.row").alias("row")), "simhash-wanted")
+    texts = rows.select("row", "text").join(wanted, "row").groupBy("id").agg(F.min("text").alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)], pa.binary())], ["id", "hashes"])
+
+    hashes = stored(texts.mapInArrow(hashed, "id long, hashes binary"), "simhash-hashes")
+    left = stored(pairs.join(hashes.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a"), "simhash-left")
+    both = left.join(hashes.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b").select("a", "b", "left", "right")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                joined = np.frombuffer(x + y, np.uint64).copy()
+                joined.sort()
+                common = int((joined[1:] == joined[:-1]).sum())
+                yes.append(common >= least * (len(joined) - common) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
+
+    return stored(both.mapInArrow(work, "a long, b long"), "simhash-verified")
+
+
+def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, per_task: int = PAIRED) -> tuple[DataFrame, DataFrame]:
+    """rows (row, doc_id, text) -> (row, doc_id, id) and (id, component_id: none, doc_id and row of a group's first row).
+
+    Each round joins every member of a shared key to one hub of that key and verifies these pairs;
+    members that are then in one component need no other pair. Keys with members still apart are
+    given another hub while one of them has more than `per_task` members and links are found, then
+    all their pairs that are apart and not yet verified: those outside a key's largest component with all others.
+    """
+    marks = stored(_shingle_sets(rows, shingle), "simhash-sets")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    sets = stored(marks.groupBy("id").agg(F.min(first).alias("least"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("mark").alias("mark")), "simhash-distinct")
+    posts = sets.select("id", "size", F.explode("bands").alias("key"))
+    shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    posts = stored(posts.join(stored(shared, "simhash-keys"), "key").select("key", "id", "size", F.col("id").alias("root")), "simhash-posts")
+    sizes = F.least("size", "size_b") >= F.lit(least - 1e-9) * F.greatest("size", "size_b")
+    pair = (F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
+    links = tested = None
+    hubs_left = True
+    for turn in range(ROUNDS + 1):
+        member = F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("order"), F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+        keys = stored(posts.groupBy("key").agg(F.min(member).alias("hub"), F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root").alias("most")).where("lo < hi").select("key", "n", "most", "hub.*"), "simhash-hubs")
+        widest = keys.agg(F.max("n")).first()[0]
+        if not widest:
+            break
+        if turn and (turn == ROUNDS or widest <= per_task or not found):
+            hubs_left = False
+            members = stored(posts.join(keys.select("key", "most"), "key").join(sets.select("id", "mark"), "id"), "simhash-apart")
+            few = members.where("root <> most").select("key", F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.col("mark").alias("mark_b"))
+            # A pair of two of the few comes up both ways round: once is enough.
+            pairs = _alike(members.join(stored(few, "simhash-few"), "key").where("root <> root_b and (root = most or id < id_b)").where(sizes), least)
+        else:
+            pairs = posts.join(keys, "key").where("root <> root_b").where(sizes)
+        pairs = pairs.select(*pair).distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
+        new = _verified(pairs, sets, rows, shingle, least)
+        found = new.count()
+        links = new if links is None else links.unionByName(new)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if not hubs_left:
+            break
+        roots = components(links).withColumnRenamed("node", "id").withColumnRenamed("root", "now")
+        posts = stored(posts.join(keys.select("key"), "key").join(roots, "id", "left").select("key", "id", "size", F.coalesce("now", "id").alias("root")), "simhash-posts")
+    if links is None:
+        links = sets.sparkSession.createDataFrame([], "a long, b long")
+    return marks.select("row", "doc_id", "id"), _named(sets.select("id", "least"), links)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, per_task: int = PAIRED) -> DataFrame:
     """doc_id, component_id for every row: near-duplicates by similarity of shingles."""
-    marks = stored(fingerprints(docs, shingle, words, repeats=False).select("doc_id", "bits", F.xxhash64("bits").alias("id")), "simhash-wide")
-    distinct = stored(marks.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits")), "simhash-distinct")
-    count = distinct.count()
-    depth = max(8, min(56, max(count, 2).bit_length()))
-    rows = distinct.select("id", F.posexplode("bits").alias("trie", "key"), "bits")
-    more = F.slice(F.concat("bits", "bits"), F.col("trie") + 2, F.lit(CARRIED))
-    rows = rows.select("trie", "id", "key", more.alias("more"))
-    links = _forests(rows, min(_prefix_bits(count, per_task), depth - 4), budget, depth, wide)
-    named = _named(distinct.select("id", "least"), links)
-    return marks.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
+    marks, named = near_groups(docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text"), shingle, least, per_task)
+    return marks.join(named, "id").select("doc_id", F.col("component_id.doc_id").alias("component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

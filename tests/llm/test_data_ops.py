@@ -173,6 +173,44 @@ def test_near_duplicates_and_dense_groups(spark):
     assert all(got[i] == i - i % 2 for i in range(30)) and all(got[i] == 0 for i in range(30, 150))
 
 
+def _similar(rng, base, share):
+    """Words whose five-word shingles have about the Jaccard similarity `share` with those of base: a new tail."""
+    keep = round(2 * share / (1 + share) * len(base))
+    return base[:keep] + [f"w{rng.randrange(10**9)}" for _ in base[keep:]]
+
+
+def test_near_duplicates_are_verified(spark):
+    rng = random.Random(8)
+    bases = [[f"w{rng.randrange(10**9)}" for _ in range(300)] for _ in range(40)]
+    texts = [" ".join(words) for base in bases for words in (base, _similar(rng, base, 0.74), _similar(rng, base, 0.84))]
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(296)} for t in texts]
+    want = groups(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])])
+    for per_task in (1, 1 << 12):
+        got = simhash.near_duplicates(table(spark, texts), per_task=per_task).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_candidates_at_the_threshold_do_not_depend_on_other_rows():
+    rng = np.random.default_rng(9)
+    shared = []
+    for _ in range(4000):
+        hashes = rng.integers(1 << 63, size=200, dtype=np.uint64) * np.uint64(2)
+        other = np.concatenate([hashes[:178], rng.integers(1 << 63, size=22, dtype=np.uint64)])
+        a, b = simhash.band_keys(np.stack([simhash.minima(hashes), simhash.minima(other)]))
+        shared.append(int((a == b).sum()))
+    assert min(shared) > 0 and abs(np.mean(shared) - simhash.BANDS * (178 / 222) ** simhash.ROWS) < 0.2
+
+
+def test_dedup_keeps_a_row_of_each_group(spark):
+    rng = random.Random(10)
+    a, b, c = ([f"w{rng.randrange(10**9)}" for _ in range(100)] for _ in range(3))
+    rows = [(1, a), (1, b), (2, b[:-2] + ["x", "y"]), (None, a[:-1] + ["z"]), (None, c), (None, c[:-1] + ["z"]), (None, c), (3, a)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.dedup(spark, docs, "").collect()
+    kept = {(r["doc_id"], r["text"].split()[0]) for r in got}
+    assert len(got) == 3 and kept == {(1, a[0]), (1, b[0]), (None, c[0])}
+
+
 def test_components_of_a_hub_and_a_chain(spark):
     links = [(1, i) for i in range(2, 200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
