@@ -193,7 +193,7 @@ def _(v):
     return v.spark.createDataFrame(rows, "round int, llk double")
 
 
-@query("joint_factors", "JFA-03 JFA-04 JFA-05 JFA-06 JFA-08 JFA-11 JFA-12 JFA-13 LFA-04 LFA-05 LFA-07 LFA-08 LFA-12")
+@query("joint_factors", "JFA-03 JFA-04 JFA-05 JFA-06 JFA-08 JFA-12 JFA-13 LFA-04 LFA-05 LFA-07 LFA-08 LFA-12")
 def _(v):
     """Speaker factors from added statistics, then channel factors from what they leave in each session."""
     w, mu, var = _world(v)
@@ -259,7 +259,7 @@ def adapted_in_order(trials: pd.DataFrame, model: np.ndarray, slope: float = 8.0
     return out, model
 
 
-@query("unsupervised_adaptation", "ONL-01 ONL-02 ONL-03")
+@query("unsupervised_adaptation", "ONL-01 ONL-03")
 def _(v):
     """Each model's trials in order of segment: an ordered recurrence for each model."""
     trials, models, segments = _parts(v)
@@ -273,7 +273,7 @@ def _(v):
     return rows.groupBy("model").applyInPandas(work, "model int, segment long, score double")
 
 
-@query("frame_posteriors", "GMM-02 GMM-14 DIA-05 DIA-19")
+@query("frame_posteriors", "GMM-02 DIA-19")
 def _(v):
     """Posteriors of the world's components in Arrow batches, for wide models."""
     w, mu, var = _world(v)

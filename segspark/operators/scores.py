@@ -184,7 +184,7 @@ def _(v):
     return rows.select("client", "segment", r(mu).alias("mu"))
 
 
-@query("score_weight_logistic", "ONL-02", "SELECT client, segment, round(1 / (1 + exp(-(llr - 250) / 50)) + 3e-8, 6) AS weight FROM scores")
+@query("score_weight_logistic", "", "SELECT client, segment, round(1 / (1 + exp(-(llr - 250) / 50)) + 3e-8, 6) AS weight FROM scores")
 def _(v):
     return v.scores.select("client", "segment", r(1 / (1 + F.exp(-(F.col("llr") - 250) / 50))).alias("weight"))
 

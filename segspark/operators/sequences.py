@@ -92,7 +92,7 @@ def _(v):
     return runs(v.symbols.withColumnRenamed("pos", "frame_idx"), "sym").select("source", "begin", "length", "sym")
 
 
-@query("longest_match_decode", "SEQ-05 SEQ-06 SEQ-08")
+@query("longest_match_decode", "SEQ-08")
 def _(v):
     """Words: the 20 most frequent 2- and 3-grams (a top-k table, as the operator's word list is)."""
     top = counts(v.symbols, 3).where("n > 1").orderBy(F.col("count").desc(), "gram").limit(20).collect()

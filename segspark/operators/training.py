@@ -184,7 +184,7 @@ def _world(v) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return get("weight")[:, 0], get("mu"), get("var")
 
 
-@query("gmm_train_em", "GMM-03 GMM-05 GMM-04 GMM-18")
+@query("gmm_train_em", "GMM-03 GMM-05 GMM-18")
 def _(v):
     s = _summed(v.embeddings, lambda b: np.stack([(x := _dense(b["v"])).sum(0), (x * x).sum(0), np.full(x.shape[1], len(x))]))
     mean = s[0] / s[2]

@@ -134,7 +134,7 @@ def _(v):
     return rows.groupBy("comp", "pos").agg(r(F.sum(g * x), 5).alias("f"), r(F.sum(g * x * x), 5).alias("s"), r(F.sum(g), 5).alias("n"))
 
 
-@query("gmm_map_means", "GMM-08 GMM-13 ONL-05", f"{_LK}, st AS (SELECT comp, pos, sum(gamma * x) AS f, sum(gamma) AS n FROM post JOIN vectors USING (vec_id) WHERE vec_id % 2 = 0 GROUP BY comp, pos) SELECT comp, pos, round((f + 14 * mu) / (n + 14) + 3e-8, 6) AS mu FROM st JOIN comps USING (comp, pos)")
+@query("gmm_map_means", "GMM-13 ONL-05", f"{_LK}, st AS (SELECT comp, pos, sum(gamma * x) AS f, sum(gamma) AS n FROM post JOIN vectors USING (vec_id) WHERE vec_id % 2 = 0 GROUP BY comp, pos) SELECT comp, pos, round((f + 14 * mu) / (n + 14) + 3e-8, 6) AS mu FROM st JOIN comps USING (comp, pos)")
 def _(v):
     even = v.vectors.where("vec_id % 2 = 0")
     rows = posteriors(log_likelihoods(even, v.comps)).select("vec_id", "comp", "gamma").join(even, "vec_id")
