@@ -40,8 +40,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 #: Standard deviations by which the share of equal minima may fall short of the similarity before two sets are told apart by it (chance 3e-7).
 SHORT = 5
-#: Members of a key that are compared all with all at once, and rounds of hubs before that at most.
-PAIRED, ROUNDS = 1 << 12, 4
+#: Shingles in a block of a key's members that are compared at once.
+PER_BLOCK = 1 << 19
 #: Differing bits that link two fingerprints in components_of.
 BUDGET = 2
 #: Fingerprints that a task should hold, and node pairs of its frontier.
@@ -306,30 +306,26 @@ def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "row long, doc_id long, id long, size int, bands array<long>, mark binary")
 
 
-def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs (id, id_b, mark, mark_b) without those whose marks agree too seldom for similarity `least`."""
+def _fewest(least: float) -> float:
+    """Equal minima that two sets of similarity `least` have at least, but for a chance of 3e-7."""
     count = BANDS * ROWS
-    fewest = count * least - SHORT * (count * least * (1 - least)) ** 0.5
+    return count * least - SHORT * (count * least * (1 - least)) ** 0.5
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, count) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= fewest))
-
-    return pairs.select("id", "id_b", "mark", "mark_b").mapInArrow(work, "id long, id_b long")
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of pairs (a, b) of set ids whose shingle sets have a Jaccard similarity of `least` or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = stored(sets.join(wanted, "id").select("id", F.col("least.row").alias("row")), "simhash-wanted")
+def _hashes(ids: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """id, hashes: the shingle set of each of ids, as sorted 64-bit integers."""
+    wanted = stored(sets.join(ids, "id").select("id", F.col("least.row").alias("row")), "simhash-wanted")
     texts = rows.select("row", "text").join(wanted, "row").groupBy("id").agg(F.min("text").alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)], pa.binary())], ["id", "hashes"])
 
-    hashes = stored(texts.mapInArrow(hashed, "id long, hashes binary"), "simhash-hashes")
+    return stored(texts.mapInArrow(hashed, "id long, hashes binary"), "simhash-hashes")
+
+
+def _verified(pairs: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (a, b) of set ids whose shingle sets have a Jaccard similarity of `least` or more."""
     left = stored(pairs.join(hashes.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a"), "simhash-left")
     both = left.join(hashes.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b").select("a", "b", "left", "right")
 
@@ -346,56 +342,106 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int,
     return stored(both.mapInArrow(work, "a long, b long"), "simhash-verified")
 
 
-def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, per_task: int = PAIRED) -> tuple[DataFrame, DataFrame]:
+def _bucket_links(found: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links between the blocks of a bucket: at most one for each two components that they join.
+
+    Rows are (key, i, j, side, few, id, root, size, mark, bands, hashes). In each block (key, i, j) the few
+    are held against all members that are in another component; a pair counts under the first key it shares.
+    """
+    fewest = _fewest(least)
+    side, few, size = (found.column(c).to_numpy() for c in ("side", "few", "size"))
+    key, i, j = (found.column(c).to_numpy() for c in ("key", "i", "j"))
+    ids, local = np.unique(found.column("id").to_numpy(), return_inverse=True)
+    _, root = np.unique(found.column("root").to_numpy(), return_inverse=True)
+    forest = Forest(len(ids))
+    order = np.argsort(root, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]]))
+    forest.link(local[order], np.repeat(local[order][heads], np.diff(np.append(heads, len(order)))))
+    marks = np.frombuffer(b"".join(found.column("mark").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    bands = found.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    sets = found.column("hashes").combine_chunks()
+    hashes = lambda n: np.frombuffer(sets[n].as_buffer(), np.uint64)
+    order = np.lexsort((side, j, i, key))
+    same = (key[order][1:] == key[order][:-1]) & (i[order][1:] == i[order][:-1]) & (j[order][1:] == j[order][:-1])
+    a, b = [], []
+    for block in np.split(order, np.flatnonzero(~same) + 1):
+        dealt = side[block].min() == 0
+        searchers = block[side[block] == 0] if dealt else block[few[block]]
+        members = block[side[block] == 1]
+        for f in searchers.tolist():
+            near = members[forest.root[local[members]] != forest.root[local[f]]]
+            near = near[np.minimum(size[near], size[f]) >= least * np.maximum(size[near], size[f]) - 1e-9]
+            near = near[(marks[near] == marks[f]).sum(1) >= fewest]
+            equal = bands[near] == bands[f]
+            near = near[bands[near][np.arange(len(near)), equal.argmax(1)] == key[f]]
+            own = hashes(f) if len(near) else None
+            for part in np.array_split(near, 1 + int(size[near].sum()) // FRONTIER):
+                if not len(part):
+                    continue
+                flat = np.concatenate([hashes(n) for n in part.tolist()])
+                at = np.searchsorted(own, flat)
+                hit = own[np.minimum(at, len(own) - 1)] == flat
+                common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[part]) - size[part])
+                for n in part[common >= least * (size[part].astype(np.int64) + int(size[f]) - common) - 1e-9].tolist():
+                    if forest.root[local[n]] != forest.root[local[f]]:
+                        forest.link(local[[f]], local[[n]])
+                        a.append(ids[local[f]])
+                        b.append(ids[local[n]])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, block: int = PER_BLOCK) -> tuple[DataFrame, DataFrame]:
     """rows (row, doc_id, text) -> (row, doc_id, id) and (id, component_id: none, doc_id and row of a group's first row).
 
-    Each round joins every member of a shared key to one hub of that key and verifies these pairs;
-    members that are then in one component need no other pair. Keys with members still apart are
-    given another hub while one of them has more than `per_task` members and links are found, then
-    all their pairs that are apart and not yet verified: those outside a key's largest component with all others.
+    Every member of a shared key is joined to the key's hub, its member whose keys are the fullest, and
+    these pairs are verified. The members that are then in another component than the hub, the few, are
+    held against all members of the key in blocks of about `block` shingles: one task takes some blocks and
+    returns a forest of verified links, so no pair is ever a row of a table.
     """
     marks = stored(_shingle_sets(rows, shingle), "simhash-sets")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     sets = stored(marks.groupBy("id").agg(F.min(first).alias("least"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("mark").alias("mark")), "simhash-distinct")
+    named = lambda links: (marks.select("row", "doc_id", "id"), _named(sets.select("id", "least"), links))
     posts = sets.select("id", "size", F.explode("bands").alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    posts = stored(posts.join(stored(shared, "simhash-keys"), "key").select("key", "id", "size", F.col("id").alias("root")), "simhash-posts")
-    sizes = F.least("size", "size_b") >= F.lit(least - 1e-9) * F.greatest("size", "size_b")
-    pair = (F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
-    links = tested = None
-    hubs_left = True
-    for turn in range(ROUNDS + 1):
-        member = F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("order"), F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-        keys = stored(posts.groupBy("key").agg(F.min(member).alias("hub"), F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root").alias("most")).where("lo < hi").select("key", "n", "most", "hub.*"), "simhash-hubs")
-        widest = keys.agg(F.max("n")).first()[0]
-        if not widest:
-            break
-        if turn and (turn == ROUNDS or widest <= per_task or not found):
-            hubs_left = False
-            members = stored(posts.join(keys.select("key", "most"), "key").join(sets.select("id", "mark"), "id"), "simhash-apart")
-            few = members.where("root <> most").select("key", F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.col("mark").alias("mark_b"))
-            # A pair of two of the few comes up both ways round: once is enough.
-            pairs = _alike(members.join(stored(few, "simhash-few"), "key").where("root <> root_b and (root = most or id < id_b)").where(sizes), least)
-        else:
-            pairs = posts.join(keys, "key").where("root <> root_b").where(sizes)
-        pairs = pairs.select(*pair).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
-        new = _verified(pairs, sets, rows, shingle, least)
-        found = new.count()
-        links = new if links is None else links.unionByName(new)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not hubs_left:
-            break
-        roots = components(links).withColumnRenamed("node", "id").withColumnRenamed("root", "now")
-        posts = stored(posts.join(keys.select("key"), "key").join(roots, "id", "left").select("key", "id", "size", F.coalesce("now", "id").alias("root")), "simhash-posts")
-    if links is None:
-        links = sets.sparkSession.createDataFrame([], "a long, b long")
-    return marks.select("row", "doc_id", "id"), _named(sets.select("id", "least"), links)
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, per_task: int = PAIRED) -> DataFrame:
+    shared = stored(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
+    posts = stored(posts.join(shared, "key").select("key", "id", "size", "n"), "simhash-posts")
+    weights = stored(posts.groupBy("id").agg(F.sum("n").alias("weight")), "simhash-weights")
+    hashes = _hashes(weights.select("id"), sets, rows, shingle)
+    posts = stored(posts.join(weights, "id").select("key", "id", "size", "weight"), "simhash-weighed")
+    hub = F.max_by(F.struct(F.col("id").alias("hub"), F.col("size").alias("hub_size")), F.struct("weight", "id")).alias("hub")
+    keys = stored(posts.groupBy("key").agg(hub).select("key", "hub.*"), "simhash-hubs")
+    sizes = F.least("size", "hub_size") >= F.lit(least - 1e-9) * F.greatest("size", "hub_size")
+    pairs = posts.join(keys, "key").where("id <> hub").where(sizes).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    links = _verified(stored(pairs, "simhash-pairs"), hashes, least)
+    roots = components(links)
+    rooted = stored(posts.join(roots, posts["id"] == roots["node"], "left").select("key", "id", "size", F.coalesce("root", "id").alias("root")), "simhash-rooted")
+    hubs = stored(keys.join(roots, keys["hub"] == roots["node"], "left").select("key", F.coalesce("root", "hub").alias("hub_root")), "simhash-hub-roots")
+    members = stored(rooted.join(hubs, "key").select("key", "id", "size", "root", (F.col("root") != F.col("hub_root")).alias("few")), "simhash-members")
+    parts = lambda total: F.ceil(F.sum(total) / F.lit(block)).cast("int")
+    apart = stored(members.groupBy("key").agg(parts(F.when(F.col("few"), F.col("size"))).alias("si"), parts(F.col("size")).alias("sj")).where("si > 0"), "simhash-apart")
+    cut = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    split = members.join(apart, "key")
+    searchers = split.where("few and si * sj > 1").withColumn("i", cut("si", 1)).withColumn("j", every("sj")).withColumn("side", F.lit(0))
+    others = split.withColumn("j", cut("sj", 2)).withColumn("i", every("si")).withColumn("side", F.lit(1))
+    dealt = stored(searchers.unionByName(others).select("key", "i", "j", "side", "few", "id", "root", "size"), "simhash-dealt")
+    total = dealt.agg(F.sum("size")).first()[0]
+    if not total:
+        return named(links)
+    buckets = -(-total // (4 * block))
+    full = dealt.join(sets.join(hashes, "id").select("id", "mark", "bands", "hashes"), "id").withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)))
+
+    def work(found: pa.Table) -> pa.Table:
+        a, b = _bucket_links(found, least)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    more = full.groupBy("bucket").applyInArrow(work, "a long, b long")
+    return named(stored(links.unionByName(more), "simhash-links"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, block: int = PER_BLOCK) -> DataFrame:
     """doc_id, component_id for every row: near-duplicates by similarity of shingles."""
-    marks, named = near_groups(docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text"), shingle, least, per_task)
+    marks, named = near_groups(docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text"), shingle, least, block)
     return marks.join(named, "id").select("doc_id", F.col("component_id.doc_id").alias("component_id"))
 
 

@@ -169,7 +169,7 @@ def test_near_duplicates_and_dense_groups(spark):
         texts.append(" ".join(words))
     first = texts[0].split()
     texts += [" ".join(first[:100] + [word()] + first[101:]) for _ in range(120)]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table(spark, texts), per_task=64).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table(spark, texts), block=2000).collect()}
     assert all(got[i] == i - i % 2 for i in range(30)) and all(got[i] == 0 for i in range(30, 150))
 
 
@@ -185,11 +185,28 @@ def test_near_duplicates_are_verified(spark):
     texts = [" ".join(words) for base in bases for words in (base, _similar(rng, base, 0.74), _similar(rng, base, 0.84))]
     grams = [{tuple(t.split()[i : i + 5]) for i in range(296)} for t in texts]
     want = groups(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])])
-    for per_task in (1, 1 << 12):
-        got = simhash.near_duplicates(table(spark, texts), per_task=per_task).collect()
+    for block in (250, 1 << 19):
+        got = simhash.near_duplicates(table(spark, texts), block=block).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_copies_around_the_threshold_equal_brute_force(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(90):
+        words = list(base)
+        for _ in range(rng.randint(1, 6)):
+            words[rng.randrange(120)] = f"w{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    texts += texts[40:44]
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    want = groups(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])])
+    assert 10 < len(set(want.values())) < 90
+    for block in (3000, 1 << 19):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table(spark, texts), block=block).collect()} == want
+
+
 def test_candidates_at_the_threshold_do_not_depend_on_other_rows():
     rng = np.random.default_rng(9)
     shared = []
