@@ -2,14 +2,14 @@
 
 The base patterns find spans of four kinds. These are the seeds: the one or two words before a seed
 are lexical patterns, the identifiers are instances. A pattern's confidence is the score of the
-instances behind its occurrences over all its occurrences in the corpus (before whatever follows);
-an instance's score is 1 for a seed, else what its confident patterns give it. A few rounds over
-this graph are run by Spark, and identifier-like tokens behind confident patterns become spans of
-kind `other`, beside the base ones.
+instances behind it over all identifier-like tokens behind it in the corpus; it is admitted with
+SEEDS distinct instances of score CONFIDENCE and that confidence itself. An instance's score is 1
+for a seed, else what its admitted patterns give it. Spark runs rounds over this graph, in which
+instances found so far support new patterns, until no pattern is admitted any more. Identifier-like
+tokens behind admitted patterns become spans of kind `other`, beside the base ones.
 
-All of it is DataFrame functions. Only pattern hashes and counts are shuffled. Occurrences are
-counted over all words of all texts; a bit table of pattern hashes (of fixed size, or none if
-there are too many patterns for it) drops other words first.
+All of it is DataFrame functions. Only pattern and instance hashes and counts are shuffled, summed
+before they are. Every expression over a text takes linear time.
 
 Edge cases: null and empty texts have no spans. Offsets are code points, ends exclusive. A repeated
 row is evidence each time it occurs and is answered each time. Without seeds nothing is discovered.
@@ -30,10 +30,8 @@ _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-#: Distinct seeds that a pattern needs, its least confidence, and rounds over the graph.
-SEEDS, CONFIDENCE, ROUNDS = 3, 0.6, 3
-#: Bits of the table of pattern hashes; patterns up to a quarter of them use it.
-BITS = 1 << 20
+#: Distinct instances that a pattern needs, and the least confidence of patterns and instances.
+SEEDS, CONFIDENCE = 3, 0.6
 #: An identifier-like token: at least this many digits.
 DIGITS = 4
 #: Confident patterns that may be held against tokens in place; more are joined.
@@ -88,24 +86,26 @@ def base_spans(text: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """Identifier-like tokens (those with a digit or @) from their first such character, with up to 120 characters before each."""
-    item = lambda gap, value, start, at: F.struct(start.alias("start"), value.alias("value"), F.concat(F.when(at > 0, "# ").otherwise(""), F.right(gap, F.lit(120))).alias("before"))
+    """Identifier-like tokens (those with a digit or @) from their first such character, with what stands before each, back to the last one."""
+    item = lambda gap, value, start, at: F.struct(start.alias("start"), value.alias("value"), F.reverse(F.concat(F.when(at > 0, "# ").otherwise(""), gap)).alias("before"))
     return F.when(text.rlike("[0-9@]"), _folded(text, r"\G([^0-9@]*+)([0-9@]\S*+)", _TOKEN, item)).otherwise(F.expr(f"cast(array() as {_TOKEN})"))
 
 
 def candidates(text: Column, base: Column) -> Column:
     """array of (start, end, instance, one, two, seed): tokens with their pattern hashes; seed if a base span meets them."""
 
+    # What stands before a token is held back to front, so each expression is anchored and reads no more than it takes.
+    back = lambda t, n: F.reverse(F.regexp_extract(t["before"], r"^(\S*+)\s*+(\S*+)\s*+(\S*+)", n))
+
     def headed(t: Column) -> Column:
-        head = F.regexp_extract(t["before"], r"(\S*)$", 1)
-        return F.struct(t["start"].alias("start"), t["before"].alias("before"), head.alias("head"), F.concat(head, t["value"]).alias("value"))
+        head = back(t, 1)
+        return F.struct((t["start"] - F.length(head)).alias("start"), F.concat(head, t["value"]).alias("value"), F.array(back(t, 3), back(t, 2)).alias("words"))
 
     def trimmed(t: Column) -> Column:
-        lead = F.length(F.regexp_extract(t["value"], r"^([^\p{L}\p{N}+@]*)", 1))
-        core = F.regexp_extract(t["value"], r"^[^\p{L}\p{N}+@]*(.*?)[^\p{L}\p{N}]*$", 1)
-        before = F.left(t["before"], F.length(t["before"]) - F.length(t["head"]))
-        words = F.split(F.trim(F.regexp_replace(before, r"\s+", " ")), " ")
-        return F.struct((t["start"] - F.length(t["head"]) + lead).alias("start"), core.alias("core"), words.alias("words"))
+        lead = F.length(F.regexp_extract(t["value"], r"^([^\p{L}\p{N}+@]*+)", 1))
+        tail = F.length(F.regexp_extract(F.reverse(t["value"]), r"^([^\p{L}\p{N}]*+)", 1))
+        core = F.substring(t["value"], lead + 1, F.greatest(F.length(t["value"]) - lead - tail, F.lit(0)))
+        return F.struct((t["start"] + lead).alias("start"), core.alias("core"), t["words"].alias("words"))
 
     def hashed(t: Column) -> Column:
         one, two = (F.lower(F.coalesce(F.try_element_at(t["words"], F.lit(-i)), F.lit(""))) for i in (1, 2))
@@ -145,35 +145,26 @@ def _graph(rows: DataFrame) -> DataFrame:
     return c.select(F.explode(F.array("c.one", "c.two")).alias("pattern"), "c.instance", "c.seed").where("pattern is not null").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
 
 
-def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): how often each pattern's words stand anywhere in the texts."""
-    count = patterns.count()
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    hashes = lambda w: F.concat(F.transform(w, lambda x: F.xxhash64(F.lower(x))), F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.xxhash64(F.lower(a), F.lower(b))))
-    found = docs.where(F.length("text") > 0).select(words.alias("w")).select(hashes(F.col("w")).alias("h"))
-    if count <= BITS // 4:
-        slot = F.pmod(F.col("pattern"), F.lit(BITS))
-        marks = dict(patterns.groupBy(F.shiftright(slot, 6).cast("int")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(pattern, {BITS}) % 64 as int)))")).collect())
-        table = F.split(F.lit(",".join(str(marks.get(i, 0)) for i in range(BITS // 64))), ",").cast("array<bigint>")  # folded to a literal
-        found = found.select(F.filter("h", lambda h: F.get(table, F.shiftright(F.pmod(h, F.lit(BITS)), 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(h, F.lit(BITS)) % 64).cast("int"))) != 0).alias("h"))
-    return found.select(F.explode("h").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern", "left_semi")
-
-
-def confident(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(pattern, confidence): patterns that reach CONFIDENCE after ROUNDS rounds."""
-    graph = stored(_graph(rows), "pii-graph")
-    seeded = stored(graph.where("seed").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SEEDS).select("pattern"), "pii-patterns")
-    totals = stored(_occurrences(docs, seeded), "pii-totals")
-    edges = stored(graph.join(totals, "pattern"), "pii-edges")
+def confident(rows: DataFrame) -> DataFrame:
+    """(pattern, confidence): the patterns that are admitted once a round admits no more.
+
+    Scores and confidences only grow from round to round, so the rounds end by themselves.
+    """
+    edges = stored(_graph(rows), "pii-graph")
     score = edges.where("seed").select("instance").distinct().withColumn("score", F.lit(1.0))
-    best = None
-    for _ in range(ROUNDS):
-        known = edges.join(score, "instance")
-        best = stored(known.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence")).where(F.col("confidence") >= CONFIDENCE), "pii-confident")
+    best, admitted = None, -1
+    while True:
+        known = edges.join(score, "instance", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        support = F.count_if(F.col("score") >= CONFIDENCE)
+        ranked = known.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("confidence"), support.alias("support"))
+        best = stored(ranked.where((F.col("support") >= SEEDS) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "confidence"), "pii-confident")
+        count = best.count()
+        if count == admitted:
+            return best
+        admitted = count
         doubt = F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))
         new = edges.where("not seed").join(best, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(doubt))).alias("score"))
         score = stored(edges.where("seed").select("instance", F.lit(1.0).alias("score")).unionByName(new).groupBy("instance").agg(F.max("score").alias("score")), "pii-instances")
-    return best
 
 
 def extracted(docs: DataFrame) -> DataFrame:
@@ -192,7 +183,7 @@ def found(docs: DataFrame) -> DataFrame:
     """doc_id, base (array of kind, start, end, value), other (array of kind, start, end)."""
     prepare(docs.sparkSession)
     rows = extracted(docs)
-    best = confident(docs, rows)
+    best = confident(rows)
     loose = rows.select("row", F.explode("candidates").alias("c")).where("not c.seed")
     hits = loose.select("row", "c", F.explode(F.array("c.one", "c.two")).alias("pattern")).join(best, "pattern", "left_semi")
     other = hits.groupBy("row").agg(F.array_sort(F.collect_set(_other(F.col("c")))).alias("other"))
@@ -207,7 +198,7 @@ def _bare(spans: Column) -> Column:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets, e.g. [EMAIL]; a null text stays null."""
     prepare(docs.sparkSession)
-    best = stored(confident(docs, extracted(docs)), "pii-best").select("pattern")
+    best = confident(extracted(docs)).select("pattern")
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("__base", base_spans(text))
     if best.count() <= IN_PLACE:
@@ -215,7 +206,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         other = F.filter(candidates(text, F.col("__base")), lambda c: ~c["seed"] & F.coalesce(F.array_contains(known, c["one"]) | F.array_contains(known, c["two"]), F.lit(False)))
         rows = rows.withColumn("__other", F.transform(other, _other))
     else:
-        key = F.xxhash64("text", "doc_id").alias("__key")
+        key = F.sha2("text", 256).alias("__key")  # equal texts have equal spans
         loose = docs.select(key, F.explode(candidates(text, base_spans(text))).alias("c")).where("not c.seed").distinct()
         hits = loose.select("__key", "c", F.explode(F.array("c.one", "c.two")).alias("pattern")).join(best, "pattern", "left_semi")
         other = hits.groupBy("__key").agg(F.collect_set(_other(F.col("c"))).alias("__other"))

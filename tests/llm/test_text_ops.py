@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -145,6 +146,30 @@ def test_pii_bootstraps_unseen_identifiers(spark):
     assert new[12] == "my customer number: [OTHER]" and new[13] == texts[13] and "[PHONE]" in new[0]
 
 
+def test_pii_admits_patterns_of_discovered_instances(spark):
+    texts = [f"w{i} customer number: +1 (555) 555-{1000 + i} and so on" for i in range(12)]
+    texts += [f"customer number: K{i}7788990 then badge K{i}7788990 it is" for i in range(4)]
+    texts += ["a badge 5550001x here", "a year 5550002x here", "customer number: " + "a" * 140 + "12345", "abc-badge 5550003x"]
+    rows = {r["doc_id"]: r["spans"] for r in pii.digest(table(spark, texts)).collect()}
+    assert rows[12] == "other:17:26,other:38:47" and rows[16] == "other:8:16"
+    assert rows[17] == "" and rows[18] == "other:17:162" and rows[19] == ""
+
+
+def test_pii_takes_linear_time(spark):
+    texts = ["id 1" + "-" * 120000 + "a", "9" * 120000, "a@" * 60000, "+1" + "(" * 120000, "1 " * 60000 + "z" * 120000 + "1"]
+    begin = time.time()
+    assert pii.digest(table(spark, texts)).count() == 5 and time.time() - begin < 60
+
+
+def test_pii_joined_and_in_place_agree(spark, monkeypatch):
+    texts = [f"w{i} customer number: +1 (555) 555-{1000 + i} and so on" for i in range(12)] + ["customer number: K7788990 a", "customer number: K7788990 a", None, ""]
+    docs = table(spark, texts).union(table(spark, texts))
+    rows = lambda: sorted((r["doc_id"], r["text"] or "-") for r in pii.redacted(docs).collect())
+    want = rows()
+    monkeypatch.setattr(pii, "IN_PLACE", 0)
+    assert rows() == want and want[24] == (12, "customer number: [OTHER] a") and len(want) == 32
+
+
 def test_pii_empty_table(spark):
     assert pii.digest(table(spark, [])).count() == 0
 
