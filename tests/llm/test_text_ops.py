@@ -102,7 +102,7 @@ def test_phrases_equal_a_greedy_parse():
         codes = own.codes(text)
         for k, sample in enumerate((" abracadabra ", " the cat sat ")):
             ref = bytes(own.code[c] for c in sample)
-            n, at, data = 0, 0, bytes(codes)
+            n, at, data = 0, 0, bytes(codes.tolist())
             while at < len(data):
                 end = at + 1
                 while end <= len(data) and data[at:end] in ref:
@@ -111,6 +111,36 @@ def test_phrases_equal_a_greedy_parse():
             assert own.phrases([codes])[0][k] == n
 
 
+def test_lanes_agree_with_one_parse_of_the_whole_text():
+    rng = random.Random(3)
+    own = langid.Parser([("x", 1, " aaaa" + "a" * 50), ("y", 1, " abcabcab" * 90), ("z", 2, "".join(rng.choice("ab ") for _ in range(3000)))])
+    texts = ["a" * 3000, "x" * 1500, "abc" * 900, "".join(rng.choice("ab ") for _ in range(5000)), "", "aaa" * 171 + "b" + "a" * 600, "ab " * 170 + "a"]
+    codes = [own.codes(t) for t in texts]
+    assert own.phrases(codes).tolist() == [[a.count(a.dead, c) for a in own.arcs] for c in codes]
+
+
+def test_scripts_of_many_letters_and_copies(spark):
+    rng = random.Random(4)
+    han, hangul = ([chr(first + i) for i in range(900)] for first in (0x4E00, 0xAC00))
+    line = lambda pool: "".join(rng.choice(pool) for _ in range(60))
+    rows = [(i, line(han), "zh") for i in range(60)] + [(100 + i, line(hangul), "ko") for i in range(60)] + [(200 + i, f"the cat number {'abcdefgh'[i % 8] * 3} sat", "en") for i in range(60)]
+    rows += [(1000 + i, "das ist immer ein und derselbe text", "ko") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert {lang for lang, _, _ in langid.sample(docs)} == {"zh", "ko", "en"}
+    got = langid.digest(docs).join(docs, "doc_id").where("held_out").collect()
+    assert {r["lang_pred"] == r["lang"] for r in got} == {True} and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_accepted_keeps_clashing_columns_and_ties_go_to_more_rows(spark):
+    columns = "doc_id long, text string, lang string, score string, phrase string, lang_pred string, language string"
+    text = "the cat sat on the mat and the dog slept near the door of the house"
+    rows = [(i, text if i < 9 else None, "en" if i < 6 else "fr", "mine", "mine", "mine", "mine") for i in range(1, 10)] + [(None, text, None, "mine", "mine", "mine", "mine")] * 2
+    docs = spark.createDataFrame(rows, columns)
+    out = langid.accepted(docs).collect()
+    assert len(out) == 10 and {tuple(r)[3:] for r in out} == {("mine",) * 4} and out[0].asDict().keys() == set(docs.columns)
+    assert {r["lang_pred"] for r in langid.digest(docs).collect()} == {"en", "und"}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
