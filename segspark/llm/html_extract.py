@@ -8,12 +8,14 @@ threshold relative to the page are content. The smallest element that holds near
 text bounds the article; within it, short or odd blocks that are not mostly links are kept too.
 
 Never content, whatever their ratios: menus, headers, footers, asides, forms and the like by tag or
-ARIA role, hidden elements, and elements whose class or id has a word of BOILERPLATE. A headline in
-the header of an article is kept.
+ARIA role, and hidden elements. A class or id with a word of BOILERPLATE does not remove an element:
+it lowers the ratio of the paths below it to MARKED of what it is; if nearly all text of the page is
+below such marks, they say nothing.
+A headline in the header of an article is kept.
 
 Edge cases: null or empty html -> text "". Unclosed and misnested tags follow the usual recovery
-rules; unclosed comments, scripts and tags end with the page. Repeated rows are answered one by
-one; extra columns are ignored. Time is linear in the page's length.
+rules; unclosed comments, scripts and tags end with the page. Elements may be nested to any depth.
+Repeated rows are answered one by one; a null page_id or url stays null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,8 +55,8 @@ _WORDS = re.compile(r"[a-z]+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: A class such as has-sidebar or no-ads marks a page's layout, not what is to go.
 _LAYOUT = set("has no with without".split())
-#: Elements are nested no deeper than this; text of deeper ones belongs to the last.
-DEPTH = 512
+#: What is left of the ratio of a path below a marked element.
+MARKED = 0.02
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _SPACE = re.compile(r"\s+")
@@ -65,25 +68,23 @@ _SCOPE = {"table", "td", "th", "button", "caption", "html", "body", "article", "
 
 
 class Element:
-    __slots__ = ("tag", "parent", "dropped", "label", "order", "depth", "mass", "headline")
+    __slots__ = ("tag", "parent", "dropped", "marked", "path", "own", "depth", "order", "mass", "header", "inside")
 
-    def __init__(self, tag: str, parent: "Element | None", dropped: bool, label: str, order: int):
-        self.tag, self.parent, self.dropped, self.label, self.order = tag, parent, dropped, label, order
+    def __init__(self, tag: str, parent: "Element | None", dropped: bool, marked: bool, path: int, order: int):
+        self.tag, self.parent, self.dropped, self.marked, self.path, self.order = tag, parent, dropped, marked, path, order
+        #: The nearest block-level element, itself included.
+        self.own = self if parent is None or tag not in _INLINE else parent.own
         self.depth = parent.depth + 1 if parent else 0
-        self.mass = 0
+        self.mass, self.inside = 0, False
+        # Within the header of an article, but not in a headline.
+        self.header = parent is not None and tag not in _HEADLINES and (tag == "header" or parent.header)
 
 
 class Block:
-    __slots__ = ("element", "text", "links", "path", "dropped")
+    __slots__ = ("element", "text", "links", "dropped")
 
     def __init__(self, element: Element, text: str, links: int, dropped: bool):
         self.element, self.text, self.links, self.dropped = element, text, links, dropped
-        parts, e = [], element
-        while e is not None:
-            if e.tag not in _INLINE:
-                parts.append(e.label)
-            e = e.parent
-        self.path = "/".join(reversed(parts[-24:]))
 
 
 def _tag_end(page: str, at: int, loose: list[bool]) -> int:
@@ -112,31 +113,33 @@ def _tag_end(page: str, at: int, loose: list[bool]) -> int:
         at = close + 1
 
 
+def _hidden(attributes: dict[str, str]) -> bool:
+    style = attributes.get("style", "").replace(" ", "").lower()
+    return attributes.get("role", "").lower() in _ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+
+
 def _marked(attributes: dict[str, str]) -> bool:
-    if attributes.get("role", "").lower() in _ROLES:
-        return True
     for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         parts = [p.lower() for p in _PARTS.findall(token)]
-        if parts and parts[0] not in _LAYOUT and not BOILERPLATE.isdisjoint(parts):
+        if _LAYOUT.isdisjoint(parts) and not BOILERPLATE.isdisjoint(parts):
             return True
-    style = attributes.get("style", "").replace(" ", "").lower()
-    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+    return False
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order."""
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """The page's blocks, and its elements, both in order."""
     out: list[Block] = []
-    top = Element("#", None, False, "#", 0)
-    stack, pieces, links, loose, order = [top], [], 0, [False], 0
-    anchors = 0
+    top = Element("#", None, False, False, 0, 0)
+    elements, paths = [top], {}
+    stack, pieces, links, loose = [top], [], 0, [False]
+    anchors, opened = 0, Counter("#")
 
     def flush() -> None:
         nonlocal links
         if pieces:
             text = _SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                own = next(e for e in reversed(stack) if e.tag not in _INLINE)
-                out.append(Block(own, text, min(links, len(text)), stack[-1].dropped))
+                out.append(Block(stack[-1].own, text, min(links, len(text)), stack[-1].dropped))
             pieces.clear()
         links = 0
 
@@ -147,13 +150,14 @@ def blocks(page: str) -> list[Block]:
             flush()
         for e in stack[upto:]:
             anchors -= e.tag == "a"
+            opened[e.tag] -= 1
         del stack[upto:]
 
     def add(text: str) -> None:
         nonlocal links
         if text:
-            if stack[-1].dropped and stack[-1].tag in _INLINE and not next(e for e in reversed(stack) if e.tag not in _INLINE).dropped:
-                return  # a marked inline element within a text
+            if stack[-1].dropped and not stack[-1].own.dropped:
+                return  # a hidden inline element within a text
             pieces.append(html.unescape(text) if "&" in text else text)
             if anchors:
                 links += len(text.strip())
@@ -176,8 +180,9 @@ def blocks(page: str) -> list[Block]:
             end = page.find(">", tag)
             name = page[tag + 2 : end if end >= 0 else n].strip().lower().split(" ")[0]
             at = n if end < 0 else end + 1
-            if name == "p" and not any(e.tag == "p" for e in stack):
-                flush()
+            if not opened[name]:
+                if name == "p":
+                    flush()
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == name:
@@ -191,14 +196,16 @@ def blocks(page: str) -> list[Block]:
             inner = page[m.end() : end if end >= 0 else n]
             at = n if end < 0 else end + 1
             if name in _RAW:
-                if name not in ("noscript",) and not inner.endswith("/"):
+                if name in ("svg", "math") and inner.endswith("/"):
+                    continue
+                if name != "noscript":
                     lower = page.lower() if lower is None else lower
                     if len(lower) != n:
                         lower = page.translate({c: c + 32 for c in range(65, 91)})
                     end = lower.find(f"</{name}", at)
-                    at = n if end < 0 else (page.find(">", end) + 1 or n)
+                    if end >= 0 or not inner.endswith("/"):
+                        at = n if end < 0 else (page.find(">", end) + 1 or n)
                     continue
-                name = "noscript"
             if name in ("br", "hr") or name in _VOID:
                 if name == "hr":
                     flush()
@@ -207,7 +214,7 @@ def blocks(page: str) -> list[Block]:
                 continue
             if name in _INLINE and inner.endswith("/"):
                 continue
-            if name in _CLOSES_P:
+            if name in _CLOSES_P and opened["p"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
                         close(k)
@@ -226,90 +233,89 @@ def blocks(page: str) -> list[Block]:
             attributes = {a.lower(): b or c or d for a, b, c, d in reversed(_ATTRIBUTE.findall(inner))} if "=" in inner or "hidden" in inner else {}
             parent = stack[-1]
             big = name in ("html", "body", "main", "article")
-            drop = name in _DROPPED or name == "noscript" or (not big and _marked(attributes))
-            if name == "header" and any(e.tag in ("article", "main") for e in stack):
-                drop = False  # its headline stays; _kept drops the rest
+            drop = name in _DROPPED or name == "noscript" or (not big and _hidden(attributes))
+            if name == "header" and (opened["article"] or opened["main"]):
+                drop = False  # its headline stays; Element.header marks the rest
+            path = parent.path
             if name not in _INLINE:
                 flush()
-            if len(stack) > DEPTH:
-                continue
-            order += 1
-            first = _WORDS.findall(attributes.get("class", "").lower())
-            stack.append(Element(name, parent, parent.dropped or drop, f"{name}.{first[0]}" if first else name, order))
+                first = _WORDS.findall(attributes.get("class", "").lower())
+                path = paths.setdefault((path, name, first[0] if first else ""), len(paths) + 1)
+            mark = parent.marked or (not big and name not in _INLINE and _marked(attributes))
+            stack.append(Element(name, parent, parent.dropped or drop, mark, path, len(elements)))
+            elements.append(stack[-1])
             anchors += name == "a"
+            opened[name] += 1
         else:
             add("<")
             at = tag + 1
     flush()
-    return out
-
-
-def _in_header(e: Element | None) -> bool:
-    """Within the header of an article, but not in a headline."""
-    headline = False
-    while e is not None:
-        headline = headline or e.tag in _HEADLINES
-        if e.tag == "header":
-            return not headline
-        e = e.parent
-    return False
+    return out, elements
 
 
-def scores(found: list[Block]) -> dict[str, float]:
+def scores(found: list[Block]) -> dict[int, float]:
     """The fused, smoothed ratio of each path."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in found:
-        s = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
+        s = sums.setdefault(b.element.path, [0.0, 0.0, 0.0, 0.0])
         s[0] += len(b.text)
         s[1] += len(_PUNCTUATION.findall(b.text))
         s[2] += b.links
         s[3] += 1
     # Fused as a product, smoothed as its logarithm.
     ratio = {p: math.log1p(t / n * math.sqrt(1 + k / n) * (1 - l / t)) for p, (t, k, l, n) in sums.items()}
-    x = np.array([ratio[b.path] for b in found])
+    x = np.array([ratio[b.element.path] for b in found])
     kernel = np.exp(-0.5 * (np.arange(-2, 3) / SIGMA) ** 2)
     smooth = np.convolve(x, kernel, "full")[2:-2] / np.convolve(np.ones(len(x)), kernel, "full")[2:-2]
-    total: dict[str, float] = {}
+    total: dict[int, float] = {}
     for b, s in zip(found, (0.5 * x + 0.5 * smooth).tolist(), strict=True):
-        total[b.path] = total.get(b.path, 0.0) + s
+        total[b.element.path] = total.get(b.element.path, 0.0) + s
     return {p: total[p] / sums[p][3] for p in sums}
 
 
 def extract(page: str | None) -> str:
     """The main text: blocks of the article joined by one line break."""
-    found = [b for b in blocks(page or "") if not b.dropped and not _in_header(b.element)]
+    found, elements = blocks(page or "")
+    found = [b for b in found if not b.dropped and not b.element.header]
     if not found:
         return ""
     score = scores(found)
-    mass = sum(len(b.text) for b in found)
+    plain = [b for b in found if not b.element.marked]
+    if sum(len(b.text) for b in plain) <= (1 - HOLDS) * sum(len(b.text) for b in found):
+        plain = found  # nearly all bears a mark, so it says nothing
+    low = MARKED if plain is not found else 1
     # Scores are logarithms, so the threshold compares powers.
-    mean = sum(math.expm1(score[b.path]) * len(b.text) for b in found) / mass
-    content = [math.expm1(score[b.path]) >= THRESHOLD * mean for b in found]
-    picked = sum(len(b.text) for b, c in zip(found, content, strict=True) if c)
-    holders: dict[int, Element] = {}
+    power = {p: math.expm1(x) for p, x in score.items()}
+    ratio = [power[b.element.path] * (low if b.element.marked else 1) for b in found]
+    mean = sum(power[b.element.path] * len(b.text) for b in plain) / sum(len(b.text) for b in plain)
+    content = [r >= THRESHOLD * mean for r in ratio]
+    picked = 0
     for b, c in zip(found, content, strict=True):
-        e = b.element
-        while c and e is not None:
-            e.mass += len(b.text)
-            holders[id(e)] = e
-            e = e.parent
-    semantic = [e for e in holders.values() if e.tag in ("article", "main") and e.mass >= 0.4 * picked]
+        if c:
+            b.element.mass += len(b.text)
+            picked += len(b.text)
+    for e in reversed(elements[1:]):
+        e.parent.mass += e.mass
+    holders = [e for e in elements if e.mass and e.own is e]
+    semantic = [e for e in holders if e.tag in ("article", "main") and e.mass >= 0.4 * picked]
     if semantic:
         best = max(semantic, key=lambda e: (e.tag == "article", e.mass, -e.order))
         same = [e for e in semantic if e.tag == best.tag]
     else:
-        best = max((e for e in holders.values() if e.mass >= HOLDS * picked), key=lambda e: (e.depth, -e.order))
+        best = max((e for e in holders if e.mass >= HOLDS * picked), key=lambda e: (e.depth, -e.order))
         while best.tag in _HEADLINES | {"p", "li"} and best.parent is not None:
             best = best.parent
         same = [best]
-    inside = {id(e) for e in same}
+    for e in same:
+        e.inside = True
+    for e in elements[1:]:
+        e.inside = e.inside or e.parent.inside
+    marks = low == 1 or any(e.marked for e in same)
     loose = best.tag in ("#", "html", "body")
     out = []
     for b, c in zip(found, content, strict=True):
-        e = b.element
-        while e is not None and id(e) not in inside:
-            e = e.parent
-        if e is not None and (c or (not loose and b.links < LINKS * len(b.text)) or (loose and b.element.tag in _HEADLINES)):
+        odd = not loose and b.links < LINKS * len(b.text) or loose and b.element.tag in _HEADLINES
+        if b.element.inside and (c or (odd and (marks or not b.element.marked))):
             out.append(b.text)
     return "\n".join(out)
 

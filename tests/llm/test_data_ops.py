@@ -35,6 +35,15 @@ def table(spark, texts):
         ("<!--" * 2000, ""),
         ("<div>" * 3000 + "x", "x"),
         ('<p a="' * 2000, ""),
+        ("<p>Before <svg/>TAIL here</p>", "Before TAIL here"),
+        (f"<article><h1>T</h1><math/><p>{P}</p></article>", f"T\n{P}"),
+        (f"<div class='article-with-comments'><p>{P}</p></div>", P),
+        (f"<div class='recommended-reading'><p>{P}</p><p>{P}</p></div>", f"{P}\n{P}"),
+        (f"<body><div id='social-history'><p>{P}</p><p>{P}</p></div><div>Other</div>", f"{P}\n{P}"),
+        (f"<article><p>{P}<p>{P}<p>short<div class=comments><p>{P}<p>{P}<p>{P}<p>{P}</div></article>", f"{P}\n{P}\nshort"),
+        ("<p>a <span class=notice>b</span> c <span hidden>d</span>", "a b c"),
+        ("<div>" * 600 + "<nav>MENU</nav><p>text", "text"),
+        ("<script src=x /><p>hello", "hello"),
     ],
 )
 def test_html(page, want):
