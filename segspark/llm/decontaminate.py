@@ -12,7 +12,7 @@ The benchmark is the stated query set: it is collected in blocks of at most BLOC
 block is broadcast and held against all rows. Nothing is shuffled.
 
 Edge cases: null and empty texts have no leak; items whose normalised form is shorter than LEAST
-never match; a null item_id is kept. Repeated rows are answered one by one; extra columns are
+never match, since so few letters stand in clean texts too; a null item_id is kept. Repeated rows are answered one by one; extra columns are
 ignored by `leaks` and kept by `clean`. Empty tables give no leak.
 """
 
@@ -31,8 +31,8 @@ from .common import held, prepare
 Q, WINDOW, LEAST = 10, 64, 24
 #: Edits for each byte of a window.
 RATE = 0.05
-#: Bytes of benchmark text in a block; bytes of documents taken at once.
-BLOCK, CHUNK = 8 << 20, 1 << 20
+#: Bytes of benchmark text in a block; bytes of documents taken at once; pairs of equal q-grams held at once, but for those of one text and item.
+BLOCK, CHUNK, PAIRS = 8 << 20, 1 << 20, 1 << 22
 
 _TABLE = np.full(256, 32, np.uint8)
 for _r in (range(0x30, 0x3A), range(0x61, 0x7B), range(0x80, 0x100)):
@@ -80,6 +80,8 @@ class Block:
         order = np.argsort(h[at], kind="stable")
         self.at = at[order]
         self.grams, self.first, self.many = np.unique(h[at][order], return_index=True, return_counts=True)
+        # Places in order of gram, then position: those of a gram within some items are a slice.
+        self.place = (np.repeat(np.arange(len(self.grams)), self.many) << 40) | self.at
         bits = max(16, min(24, (len(self.grams) * 32).bit_length()))
         self.shift = np.uint32(32 - bits)
         self.maybe = np.zeros(1 << bits, np.bool_)
@@ -87,7 +89,7 @@ class Block:
         self.band = 2 * (int(self.budget.max(initial=0)) + 1)
 
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in data and in the items of equal q-gram hashes."""
+        """Positions in data whose q-gram some item has, and the numbers of these q-grams."""
         found_at, found_gram = [], []
         for i in range(0, len(data) - Q + 1, CHUNK):
             h = gram_hashes(data[i : i + CHUNK + Q - 1])
@@ -98,10 +100,32 @@ class Block:
             found_gram.append(gram[sure])
         if not found_at:
             return (np.zeros(0, np.int64),) * 2
-        at, gram = np.concatenate(found_at), np.concatenate(found_gram)
-        n = self.many[gram]
-        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.at[np.repeat(self.first[gram], n) + k]
+        return np.concatenate(found_at), np.concatenate(found_gram)
+
+    def _pairs(self, begin: np.ndarray, at: np.ndarray, gram: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of equal q-grams in the texts and in the items: PAIRS at once, all of a text and an item together."""
+        doc = np.searchsorted(begin, at, side="right") - 1
+        upto = np.cumsum(self.many[gram])
+        edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
+        i = 0
+        while i + 1 < len(edges):
+            j = i + 1
+            before = upto[edges[i] - 1] if edges[i] else 0
+            while j + 1 < len(edges) and upto[edges[j + 1] - 1] - before <= PAIRS:
+                j += 1
+            a, g = at[edges[i] : edges[j]], gram[edges[i] : edges[j]]
+            parts = [(0, len(self.ids))]
+            while parts:
+                lo, hi = parts.pop()
+                first = np.searchsorted(self.place, (g << 40) | self.starts[lo])
+                n = np.searchsorted(self.place, (g << 40) | self.starts[hi]) - first
+                total = int(n.sum())
+                if total > PAIRS and hi - lo > 1:
+                    parts += [((lo + hi) // 2, hi), (lo, (lo + hi) // 2)]
+                elif total:
+                    k = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+                    yield np.repeat(a, n), self.at[np.repeat(first, n) + k]
+            i = j
 
     def search(self, texts: list[str | None]) -> list[dict[int, list[tuple[int, int, int]]]]:
         """For each text: item number -> (start, end in the normalised text, edits) of its leaks."""
@@ -112,9 +136,12 @@ class Block:
         parts = [normalised(t) for t in texts]
         begin = np.cumsum([0, *[len(p) + 1 for p in parts]])
         data = np.concatenate([x for p in parts for x in (p, gap)] or [gap])
-        at, where = self.hits(data)
-        if not len(at):
-            return out
+        for at, where in self._pairs(begin, *self.hits(data)):
+            self._judge(data, begin, at, where, out)
+        return out
+
+    def _judge(self, data: np.ndarray, begin: np.ndarray, at: np.ndarray, where: np.ndarray, out: list[dict]) -> None:
+        """Adds the leaks among pairs of positions to out."""
         doc = np.searchsorted(begin, at, side="right") - 1
         item = np.searchsorted(self.starts, where, side="right") - 1
         diagonal = at - where
@@ -139,7 +166,6 @@ class Block:
                 span = (start - int(begin[d]), end - int(begin[d]), edits)
                 if not any(s < span[1] and span[0] < e for s, e, _ in found):
                     found.append(span)
-        return out
 
     def _run(self, at: np.ndarray, diagonal: np.ndarray, item: int) -> tuple[int, int, int] | None:
         """The longest unbroken run of q-grams on a diagonal, if it is as long as a window."""
