@@ -3,9 +3,9 @@
 All rolling word k-grams of a text are hashed (k = 2 for the short base phrases, k = 4 for longer
 templates); those whose hash occurs in some template are joined by Spark to the template positions. A hit votes for the diagonal (word index in the text
 minus word index in the template); neighbouring diagonals of one template are merged, and each
-merged run is verified against the template's words. A base phrase is a place where every word of
-a phrase template stands consecutively; a longer template is present if the share of its words
-that a run covers reaches `cover`.
+merged run is verified by alignment: the longest common subsequence of the template's words and the
+words of the run's own span. A base phrase is a place where every word of a phrase template stands
+consecutively; a longer template is present if the share of its words in that alignment is COVER.
 
 Only hits that pass a table of template hashes leave the scan, so the join moves a small multiple
 of the license text in the corpus, never the corpus itself. Templates are a fixed, small table.
@@ -107,7 +107,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs: row, doc_id, n_words, hits (array of hash, word position, the words from there)."""
     prepare(docs.sparkSession)
     wanted = np.sort(np.array(sorted({h for h, _, _ in _template_rows()}), np.int64))
-    longest = max(n for _, _, n, _, _ in _names())
+    longest = max(n for _, _, n, _, _ in _names()) + DRIFT
     schema = "doc_id long, n_words long, hits array<struct<hash:long,at:long,words:string>>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _window(data: np.ndarray, starts: np.ndarray, i: int, longest: int, end: int) -> str:
-    """The lower-cased words i to i + longest, joined by blanks; words of other lengths are cut at 64 bytes."""
+    """The lower-cased words i to i + longest, joined by blanks; of a word longer than any of a template, 64 bytes tell it apart."""
     out = []
     for s in starts[i : i + longest].tolist():
         piece = _LOWER[data[s : min(s + 64, end)]]
@@ -164,6 +164,31 @@ def _window(data: np.ndarray, starts: np.ndarray, i: int, longest: int, end: int
     return " ".join(out)
 
 
+def common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, with the rows of the table as bits of integers."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for w in b:
+        same = row & at.get(w, 0)
+        row = ((row + same) | (row - same)) & full
+    return len(a) - row.bit_count()
+
+
+def _aligned(runs: DataFrame) -> DataFrame:
+    """row, label, base, start, share: the share of the template's words that align with the run's span."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share = []
+            for n, phrase, skipped, words in zip(*(batch.column(k).to_pylist() for k in range(4, 8)), strict=True):
+                share.append(common(phrase.split(" "), words.split(" ")[: n - skipped + DRIFT]) / n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(share, pa.float64())], ["row", "label", "base", "start", "share"])
+
+    return runs.mapInArrow(work, "row long, label string, base boolean, start long, share double")
+
+
 def licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, runs: array of (label, base, start word, words, share); one row per row of docs."""
     spark = docs.sparkSession
@@ -184,12 +209,9 @@ def licenses(docs: DataFrame) -> DataFrame:
         .withColumn("new", F.coalesce(far, F.lit(True)).cast("int"))
         .withColumn("run", F.sum("new").over(order))
         .groupBy("row", "template", "label", "base", "n", "phrase", "run")
-        .agg(F.sum("votes").alias("votes"), F.min("first").alias("start"), F.min_by("words", "first").alias("words"))
+        .agg(F.min("first").alias("start"), F.min_by("words", "first").alias("words"), F.min_by("from", "first").alias("from"))
     )
-    # Verified on words, not hashes: the share of the template's words that the span holds.
-    same = F.size(F.array_intersect(F.split("phrase", " "), F.split("words", " "))) / F.size(F.array_distinct(F.split("phrase", " ")))
-    share = F.least(same, (F.col("votes") + LONG - 1) / F.col("n"), F.lit(1.0))
-    loose = runs.withColumn("share", share).where(F.col("share") >= COVER).select("row", "label", "base", "start", "share")
+    loose = _aligned(runs.select("row", "label", "base", "start", "n", "phrase", "from", "words")).where(F.col("share") >= COVER)
     gathered = exact.unionByName(loose).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "label", "base", "share"))).alias("runs"))
     none = F.expr("cast(array() as array<struct<start:bigint,label:string,base:boolean,share:double>>)")
     return scanned.select("row", "doc_id", "n_words").join(gathered, "row", "left").select("doc_id", "n_words", F.coalesce("runs", none).alias("runs"))

@@ -252,3 +252,63 @@ def test_decontamination_finds_edited_passages_and_blocks_agree(spark):
     assert sum(len(b) for b in decontaminate.item_blocks(items, 300)) == 7
     assert decontaminate.leaks(table(spark, []), items).count() == 0
     assert decontaminate.leaks(table(spark, texts), items.limit(0)).count() == 0
+
+
+def test_license_alignment_equals_brute_force():
+    rng = random.Random(9)
+
+    def slow(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        return rows[-1][-1]
+
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        assert license_scan.common(a, b) == slow(a, b)
+
+
+def test_license_templates_planted_edited_and_shuffled(spark):
+    rng = random.Random(10)
+    texts, want = [], []
+    for phrase, label in license_scan.TEMPLATES.items():
+        words = phrase.split()
+        texts.append("zz yy " + phrase.upper() + " xx")
+        want.append(label)
+        if len(words) >= 12:
+            texts.append(" ".join(words[:4] + ["other"] + words[5:]))
+            want.append(label)
+            half = len(words) // 2
+            texts.append(" ".join(words[half:] + ["q"] * 60 + words[:half]))  # no half is the whole
+            want.append(None)
+            rng.shuffle(words)
+            texts.append(" ".join(words))
+            want.append(None)
+    rows = {r["doc_id"]: r for r in license_scan.digest(table(spark, texts)).collect()}
+    for i, label in enumerate(want):
+        found = set(rows[i]["labels"].split(",")) - set(rows[i]["base_labels"].split(",")) - {""}
+        assert label in found | set(rows[i]["labels"].split(",")) if label else not found, texts[i]
+
+
+def test_stock_phrases_are_judged_in_slices(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    stock = " ".join(word() for _ in range(6))
+    items = [(i, f"{stock} {' '.join(word() for _ in range(20))} {stock}") for i in range(40)]
+    texts = [f"{stock} " * 30 + items[7][1], items[39][1] + f" {stock}" * 10, stock, None]
+    block = decontaminate.Block(items)
+    want = block.search(texts)
+    assert [sorted(x) for x in want] == [[7], [39], [], []]
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    assert [sorted(x) for x in block.search(texts)] == [[7], [39], [], []] and [x[7] for x in block.search(texts)[:1]] == [want[0][7]]
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from segspark.llm import common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://h:7077", applicationId="x"))
+    with pytest.raises(ValueError):
+        common.shared_dir(session)
