@@ -42,6 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to be no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 _OWN: dict[str, str] = {}
 
 
@@ -67,7 +75,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by `stored` that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df._stored_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:

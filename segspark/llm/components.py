@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 SALTS, PER_SALT = 32, 1 << 20
 
@@ -30,12 +30,14 @@ def components(links: DataFrame, most: int = 200) -> DataFrame:
     mark = None
     count = links.count()
     for _ in range(most):
+        before = links
         salts = min(SALTS, 1 + 2 * count // PER_SALT)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, salts).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _least(large, salts)
         links = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.groupBy("u").agg(F.min("m").alias("v")))
         links = stored(links.where("u <> v").distinct(), "links")
+        discard(before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held, prepare
+from .common import free, held, prepare
 
 UNKNOWN = "und"
 #: Bounds of the sample for each language: documents, and letters with word gaps.
@@ -68,8 +68,9 @@ def sample(docs: DataFrame, seed: int = 11) -> list[tuple[str, int, str]]:
     if not counts:
         return []
     drawn = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("draw", F.xxhash64("text", F.lit(seed)))
-    order = Window.partitionBy("lang").orderBy("draw")
-    chosen = drawn.select("lang", "draw").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_DOCS)
+    chosen = drawn.select("lang", "draw").distinct()
+    for part in (["lang", F.pmod("draw", F.lit(64))], ["lang"]):  # in two steps, so that a common language is no one task's
+        chosen = chosen.withColumn("nth", F.row_number().over(Window.partitionBy(*part).orderBy("draw"))).where(F.col("nth") <= SAMPLE_DOCS)
     found: dict[str, dict] = {k: {} for k in counts}
     for lang, draw, _ in chosen.collect():
         found[lang][draw] = ""
@@ -303,18 +304,10 @@ def predictions(texts: list[str | None], own: Parser) -> list[tuple[str, float,
     return out
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """name, with as many underscores before it as it takes to be no column of docs."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
 def _identified(docs: DataFrame, samples: list[tuple[str, int, str]]) -> tuple[DataFrame, str]:
     """docs with one struct column more, of a name that docs doesn't have: lang_pred, score and phrase."""
     shared = prepare(docs.sparkSession).sparkContext.broadcast(samples)
-    name, kept, at = _free(docs, "language"), docs.columns, docs.columns.index("text")
+    name, kept, at = free(docs, "language"), docs.columns, docs.columns.index("text")
     fields = [("lang_pred", pa.string()), ("score", pa.float64()), ("phrase", pa.float64())]
     schema = docs.withColumn(name, F.lit(None).cast("struct<lang_pred:string,score:double,phrase:double>")).schema
 

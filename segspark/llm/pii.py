@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import discard, free, prepare, stored
 
 KINDS = ("email", "ip", "card", "phone", "other")
 #: Base patterns behind a gap, each match starting where the last one ended. Possessive, so linear.
@@ -34,8 +34,6 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 SEEDS, CONFIDENCE = 3, 0.6
 #: An identifier-like token: at least this many digits.
 DIGITS = 4
-#: Confident patterns that may be held against tokens in place; more are joined.
-IN_PLACE = 1000
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 _TOKEN = "array<struct<start:int,value:string,before:string>>"
@@ -152,18 +150,22 @@ def confident(rows: DataFrame) -> DataFrame:
     """
     edges = stored(_graph(rows), "pii-graph")
     score = edges.where("seed").select("instance").distinct().withColumn("score", F.lit(1.0))
-    best, admitted = None, -1
+    best, last, admitted = None, None, -1
     while True:
         known = edges.join(score, "instance", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         support = F.count_if(F.col("score") >= CONFIDENCE)
         ranked = known.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("confidence"), support.alias("support"))
         best = stored(ranked.where((F.col("support") >= SEEDS) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "confidence"), "pii-confident")
         count = best.count()
+        if last is not None:
+            discard(*last)
         if count == admitted:
+            discard(edges)
             return best
         admitted = count
         doubt = F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))
         new = edges.where("not seed").join(best, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(doubt))).alias("score"))
+        last = [best]
         score = stored(edges.where("seed").select("instance", F.lit(1.0).alias("score")).unionByName(new).groupBy("instance").agg(F.max("score").alias("score")), "pii-instances")
 
 
@@ -200,19 +202,17 @@ def redacted(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     best = confident(extracted(docs)).select("pattern")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("__base", base_spans(text))
-    if best.count() <= IN_PLACE:
-        known = F.lit([r[0] for r in best.collect()]).cast("array<bigint>")
-        other = F.filter(candidates(text, F.col("__base")), lambda c: ~c["seed"] & F.coalesce(F.array_contains(known, c["one"]) | F.array_contains(known, c["two"]), F.lit(False)))
-        rows = rows.withColumn("__other", F.transform(other, _other))
-    else:
-        key = F.sha2("text", 256).alias("__key")  # equal texts have equal spans
-        loose = docs.select(key, F.explode(candidates(text, base_spans(text))).alias("c")).where("not c.seed").distinct()
-        hits = loose.select("__key", "c", F.explode(F.array("c.one", "c.two")).alias("pattern")).join(best, "pattern", "left_semi")
-        other = hits.groupBy("__key").agg(F.collect_set(_other(F.col("c"))).alias("__other"))
-        none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
-        rows = rows.withColumn("__key", key).join(other, "__key", "left").withColumn("__other", F.coalesce("__other", none))
-    spans = F.array_sort(F.transform(F.concat(_bare(F.col("__base")), F.col("__other")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    base, loose, other, key = (free(docs, n) for n in ("base", "loose", "other", "key"))
+    rows = docs.withColumn(base, base_spans(text)).withColumn(loose, F.filter(candidates(text, F.col(base)), lambda c: ~c["seed"]))
+    # Equal texts have equal spans. Only texts with a token that a pattern may claim are joined, and so moved.
+    some, of_text = F.size(loose) > 0, F.sha2("text", 256)
+    tokens = rows.where(some).select(of_text.alias(key), F.explode(loose).alias("c")).distinct()
+    hits = tokens.select(key, "c", F.explode(F.array("c.one", "c.two")).alias("pattern")).join(best, "pattern", "left_semi")
+    claimed = stored(hits.groupBy(key).agg(F.collect_set(_other(F.col("c"))).alias(other)), "pii-other")
+    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
+    joined = rows.where(some).withColumn(key, of_text).join(claimed, key, "left").withColumn(other, F.coalesce(other, none))
+    rows = rows.where(~some).withColumn(other, none).drop(loose).unionByName(joined.drop(key, loose))
+    spans = F.array_sort(F.transform(F.concat(_bare(F.col(base)), F.col(other)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(acc: Column, s: Column) -> Column:
         tag = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import discard, prepare, stored
 from .components import components
 
 SEED = 42
@@ -256,7 +256,9 @@ def _named(distinct: DataFrame, links: DataFrame) -> DataFrame:
     linked = stored(roots.join(distinct, roots["node"] == distinct["id"]).select("id", "root", "least"), "simhash-linked")
     ids = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
     found = stored(linked.select("id", "root").join(ids, "root").select("id", "component_id"), "simhash-found")
-    return stored(distinct.join(found, "id", "left").select("id", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
+    named = stored(distinct.join(found, "id", "left").select("id", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
+    discard(linked, ids, found)
+    return named
 
 
 def components_of(docs: DataFrame, shingle: int = 3, budget: int = BUDGET, per_task: int = PER_TASK) -> DataFrame:
@@ -321,7 +323,9 @@ def _hashes(ids: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int) -> D
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)], pa.binary())], ["id", "hashes"])
 
-    return stored(texts.mapInArrow(hashed, "id long, hashes binary"), "simhash-hashes")
+    found = stored(texts.mapInArrow(hashed, "id long, hashes binary"), "simhash-hashes")
+    discard(wanted)
+    return found
 
 
 def _verified(pairs: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
@@ -339,18 +343,20 @@ def _verified(pairs: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
                 yes.append(common >= least * (len(joined) - common) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
-    return stored(both.mapInArrow(work, "a long, b long"), "simhash-verified")
+    found = stored(both.mapInArrow(work, "a long, b long"), "simhash-verified")
+    discard(left)
+    return found
 
 
 def _bucket_links(found: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Verified links between the blocks of a bucket: at most one for each two components that they join.
 
-    Rows are (key, i, j, side, few, id, root, size, mark, bands, hashes). In each block (key, i, j) the few
-    are held against all members that are in another component; a pair counts under the first key it shares.
+    Rows are (hub, i, j, side, few, id, root, size, mark, hashes). In each block (hub, i, j) the few are
+    held against all members that are in another component.
     """
     fewest = _fewest(least)
     side, few, size = (found.column(c).to_numpy() for c in ("side", "few", "size"))
-    key, i, j = (found.column(c).to_numpy() for c in ("key", "i", "j"))
+    hub, i, j = (found.column(c).to_numpy() for c in ("hub", "i", "j"))
     ids, local = np.unique(found.column("id").to_numpy(), return_inverse=True)
     _, root = np.unique(found.column("root").to_numpy(), return_inverse=True)
     forest = Forest(len(ids))
@@ -358,11 +364,10 @@ def _bucket_links(found: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray
     heads = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]]))
     forest.link(local[order], np.repeat(local[order][heads], np.diff(np.append(heads, len(order)))))
     marks = np.frombuffer(b"".join(found.column("mark").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-    bands = found.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     sets = found.column("hashes").combine_chunks()
     hashes = lambda n: np.frombuffer(sets[n].as_buffer(), np.uint64)
-    order = np.lexsort((side, j, i, key))
-    same = (key[order][1:] == key[order][:-1]) & (i[order][1:] == i[order][:-1]) & (j[order][1:] == j[order][:-1])
+    order = np.lexsort((side, j, i, hub))
+    same = (hub[order][1:] == hub[order][:-1]) & (i[order][1:] == i[order][:-1]) & (j[order][1:] == j[order][:-1])
     a, b = [], []
     for block in np.split(order, np.flatnonzero(~same) + 1):
         dealt = side[block].min() == 0
@@ -372,8 +377,6 @@ def _bucket_links(found: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray
             near = members[forest.root[local[members]] != forest.root[local[f]]]
             near = near[np.minimum(size[near], size[f]) >= least * np.maximum(size[near], size[f]) - 1e-9]
             near = near[(marks[near] == marks[f]).sum(1) >= fewest]
-            equal = bands[near] == bands[f]
-            near = near[bands[near][np.arange(len(near)), equal.argmax(1)] == key[f]]
             own = hashes(f) if len(near) else None
             for part in np.array_split(near, 1 + int(size[near].sum()) // FRONTIER):
                 if not len(part):
@@ -394,49 +397,57 @@ def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
     """rows (row, doc_id, text) -> (row, doc_id, id) and (id, component_id: none, doc_id and row of a group's first row).
 
     Every member of a shared key is joined to the key's hub, its member whose keys are the fullest, and
-    these pairs are verified. The members that are then in another component than the hub, the few, are
-    held against all members of the key in blocks of about `block` shingles: one task takes some blocks and
-    returns a forest of verified links, so no pair is ever a row of a table.
+    these pairs are verified. The keys of one hub are then one crowd, in which a member counts once. Its
+    members that are in another component than the hub, the few, are held against all of the crowd in
+    blocks of about `block` shingles: one task takes some blocks and returns a forest of verified links,
+    so no pair is ever a row of a table.
     """
     marks = stored(_shingle_sets(rows, shingle), "simhash-sets")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     sets = stored(marks.groupBy("id").agg(F.min(first).alias("least"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("mark").alias("mark")), "simhash-distinct")
-    named = lambda links: (marks.select("row", "doc_id", "id"), _named(sets.select("id", "least"), links))
+    slim = stored(marks.select("row", "doc_id", "id"), "simhash-rows")
+    discard(marks)
     posts = sets.select("id", "size", F.explode("bands").alias("key"))
     shared = stored(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
-    posts = stored(posts.join(shared, "key").select("key", "id", "size", "n"), "simhash-posts")
-    weights = stored(posts.groupBy("id").agg(F.sum("n").alias("weight")), "simhash-weights")
+    bare = stored(posts.join(shared, "key").select("key", "id", "size", "n"), "simhash-posts")
+    weights = stored(bare.groupBy("id").agg(F.sum("n").alias("weight")), "simhash-weights")
     hashes = _hashes(weights.select("id"), sets, rows, shingle)
-    posts = stored(posts.join(weights, "id").select("key", "id", "size", "weight"), "simhash-weighed")
+    posts = stored(bare.join(weights, "id").select("key", "id", "size", "weight"), "simhash-weighed")
     hub = F.max_by(F.struct(F.col("id").alias("hub"), F.col("size").alias("hub_size")), F.struct("weight", "id")).alias("hub")
     keys = stored(posts.groupBy("key").agg(hub).select("key", "hub.*"), "simhash-hubs")
+    crowds = stored(posts.join(keys, "key").select("hub", "hub_size", "id", "size").distinct(), "simhash-crowds")
+    discard(shared, bare, weights, posts, keys)
     sizes = F.least("size", "hub_size") >= F.lit(least - 1e-9) * F.greatest("size", "hub_size")
-    pairs = posts.join(keys, "key").where("id <> hub").where(sizes).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = _verified(stored(pairs, "simhash-pairs"), hashes, least)
-    roots = components(links)
-    rooted = stored(posts.join(roots, posts["id"] == roots["node"], "left").select("key", "id", "size", F.coalesce("root", "id").alias("root")), "simhash-rooted")
-    hubs = stored(keys.join(roots, keys["hub"] == roots["node"], "left").select("key", F.coalesce("root", "hub").alias("hub_root")), "simhash-hub-roots")
-    members = stored(rooted.join(hubs, "key").select("key", "id", "size", "root", (F.col("root") != F.col("hub_root")).alias("few")), "simhash-members")
+    pairs = stored(crowds.where("id <> hub").where(sizes).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "simhash-pairs")
+    links = _verified(pairs, hashes, least)
+    roots = stored(components(links), "simhash-roots")
+    rooted = stored(crowds.join(roots, crowds["id"] == roots["node"], "left").select("hub", "id", "size", F.coalesce("root", "id").alias("root")), "simhash-rooted")
+    hubs = stored(crowds.select("hub").distinct().join(roots, F.col("hub") == roots["node"], "left").select("hub", F.coalesce("root", "hub").alias("hub_root")), "simhash-hub-roots")
+    members = stored(rooted.join(hubs, "hub").select("hub", "id", "size", "root", (F.col("root") != F.col("hub_root")).alias("few")), "simhash-members")
     parts = lambda total: F.ceil(F.sum(total) / F.lit(block)).cast("int")
-    apart = stored(members.groupBy("key").agg(parts(F.when(F.col("few"), F.col("size"))).alias("si"), parts(F.col("size")).alias("sj")).where("si > 0"), "simhash-apart")
+    apart = stored(members.groupBy("hub").agg(parts(F.when(F.col("few"), F.col("size"))).alias("si"), parts(F.col("size")).alias("sj")).where("si > 0"), "simhash-apart")
     cut = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    split = members.join(apart, "key")
+    split = members.join(apart, "hub")
     searchers = split.where("few and si * sj > 1").withColumn("i", cut("si", 1)).withColumn("j", every("sj")).withColumn("side", F.lit(0))
     others = split.withColumn("j", cut("sj", 2)).withColumn("i", every("si")).withColumn("side", F.lit(1))
-    dealt = stored(searchers.unionByName(others).select("key", "i", "j", "side", "few", "id", "root", "size"), "simhash-dealt")
+    dealt = stored(searchers.unionByName(others).select("hub", "i", "j", "side", "few", "id", "root", "size"), "simhash-dealt")
+    discard(crowds, pairs, roots, rooted, hubs, members, apart)
     total = dealt.agg(F.sum("size")).first()[0]
-    if not total:
-        return named(links)
-    buckets = -(-total // (4 * block))
-    full = dealt.join(sets.join(hashes, "id").select("id", "mark", "bands", "hashes"), "id").withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)))
-
-    def work(found: pa.Table) -> pa.Table:
-        a, b = _bucket_links(found, least)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    more = full.groupBy("bucket").applyInArrow(work, "a long, b long")
-    return named(stored(links.unionByName(more), "simhash-links"))
+    if total:
+        buckets = -(-total // (4 * block))
+        full = dealt.join(sets.join(hashes, "id").select("id", "mark", "hashes"), "id").withColumn("bucket", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(buckets)))
+
+        def work(found: pa.Table) -> pa.Table:
+            a, b = _bucket_links(found, least)
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        more = stored(full.groupBy("bucket").applyInArrow(work, "a long, b long"), "simhash-more")
+        links = links.unionByName(more)
+    discard(hashes, dealt)
+    named = _named(sets.select("id", "least"), links)
+    discard(sets)
+    return slim, named
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, block: int = PER_BLOCK) -> DataFrame:

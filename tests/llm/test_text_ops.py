@@ -191,13 +191,15 @@ def test_pii_takes_linear_time(spark):
     assert pii.digest(table(spark, texts)).count() == 5 and time.time() - begin < 60
 
 
-def test_pii_joined_and_in_place_agree(spark, monkeypatch):
-    texts = [f"w{i} customer number: +1 (555) 555-{1000 + i} and so on" for i in range(12)] + ["customer number: K7788990 a", "customer number: K7788990 a", None, ""]
-    docs = table(spark, texts).union(table(spark, texts))
-    rows = lambda: sorted((r["doc_id"], r["text"] or "-") for r in pii.redacted(docs).collect())
-    want = rows()
-    monkeypatch.setattr(pii, "IN_PLACE", 0)
-    assert rows() == want and want[24] == (12, "customer number: [OTHER] a") and len(want) == 32
+def test_redaction_keeps_repeated_rows_and_clashing_columns(spark):
+    texts = [f"w{i} customer number: +1 (555) 555-{1000 + i} and so on" for i in range(12)] + ["customer number: K7788990 a"] * 2 + [None, ""]
+    rows = [(i if i else None, t, "mine", "mine", "mine", "mine") for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string, loose string, other string, key string").repartition(3)
+    out = pii.redacted(docs).collect()
+    assert len(out) == 32 and {tuple(r)[2:] for r in out} == {("mine",) * 4}
+    assert sorted(r["text"] or "-" for r in out)[-4:] == ["w8 customer number: [PHONE] and so on"] * 2 + ["w9 customer number: [PHONE] and so on"] * 2
+    assert [r["text"] for r in out if r["doc_id"] in (12, 13)] == ["customer number: [OTHER] a"] * 4
+    assert pii.redacted(docs.limit(0)).count() == 0
 
 
 def test_pii_empty_table(spark):
