@@ -348,6 +348,47 @@ def _verified(pairs: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
     return found
 
 
+def _alike(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, left, right) without those whose marks agree too seldom for similarity `least`."""
+    fewest = _fewest(least)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= fewest))
+
+    return pairs.select("a", "b", "left", "right").mapInArrow(work, "a long, b long")
+
+
+def _blocks(found: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the few and of all members of each block (hub, i, j)."""
+    side, few = found.column("side").to_numpy(), found.column("few").to_numpy()
+    hub, i, j = (found.column(c).to_numpy() for c in ("hub", "i", "j"))
+    order = np.lexsort((side, j, i, hub))
+    same = (hub[order][1:] == hub[order][:-1]) & (i[order][1:] == i[order][:-1]) & (j[order][1:] == j[order][:-1])
+    for block in np.split(order, np.flatnonzero(~same) + 1):
+        dealt = side[block].min() == 0
+        yield block[side[block] == 0] if dealt else block[few[block]], block[side[block] == 1]
+
+
+def _marks(found: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(found.column("mark").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def _bucket_near(found: pa.Table, least: float) -> pa.Table:
+    """The rows of a bucket whose marks agree with those of a row of another component often enough."""
+    fewest, marks = _fewest(least), _marks(found)
+    size, root = found.column("size").to_numpy(), found.column("root").to_numpy()
+    near = np.zeros(len(size), np.bool_)
+    for searchers, members in _blocks(found):
+        for f in searchers.tolist():
+            some = members[(root[members] != root[f]) & (np.minimum(size[members], size[f]) >= least * np.maximum(size[members], size[f]) - 1e-9)]
+            some = some[(marks[some] == marks[f]).sum(1) >= fewest]
+            near[some] = True
+            near[f] |= len(some) > 0
+    return found.filter(pa.array(near))
+
+
 def _bucket_links(found: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Verified links between the blocks of a bucket: at most one for each two components that they join.
 
@@ -355,24 +396,18 @@ def _bucket_links(found: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray
     held against all members that are in another component.
     """
     fewest = _fewest(least)
-    side, few, size = (found.column(c).to_numpy() for c in ("side", "few", "size"))
-    hub, i, j = (found.column(c).to_numpy() for c in ("hub", "i", "j"))
+    size = found.column("size").to_numpy()
     ids, local = np.unique(found.column("id").to_numpy(), return_inverse=True)
     _, root = np.unique(found.column("root").to_numpy(), return_inverse=True)
     forest = Forest(len(ids))
     order = np.argsort(root, kind="stable")
     heads = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]]))
     forest.link(local[order], np.repeat(local[order][heads], np.diff(np.append(heads, len(order)))))
-    marks = np.frombuffer(b"".join(found.column("mark").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    marks = _marks(found)
     sets = found.column("hashes").combine_chunks()
     hashes = lambda n: np.frombuffer(sets[n].as_buffer(), np.uint64)
-    order = np.lexsort((side, j, i, hub))
-    same = (hub[order][1:] == hub[order][:-1]) & (i[order][1:] == i[order][:-1]) & (j[order][1:] == j[order][:-1])
     a, b = [], []
-    for block in np.split(order, np.flatnonzero(~same) + 1):
-        dealt = side[block].min() == 0
-        searchers = block[side[block] == 0] if dealt else block[few[block]]
-        members = block[side[block] == 1]
+    for searchers, members in _blocks(found):
         for f in searchers.tolist():
             near = members[forest.root[local[members]] != forest.root[local[f]]]
             near = near[np.minimum(size[near], size[f]) >= least * np.maximum(size[near], size[f]) - 1e-9]
@@ -399,8 +434,8 @@ def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
     Every member of a shared key is joined to the key's hub, its member whose keys are the fullest, and
     these pairs are verified. The keys of one hub are then one crowd, in which a member counts once. Its
     members that are in another component than the hub, the few, are held against all of the crowd in
-    blocks of about `block` shingles: one task takes some blocks and returns a forest of verified links,
-    so no pair is ever a row of a table.
+    blocks of about `block` shingles, first by their marks; one task takes the blocks of some crowds and
+    returns a forest of verified links, so no pair of members is ever a row of a table.
     """
     marks = stored(_shingle_sets(rows, shingle), "simhash-sets")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
@@ -419,7 +454,11 @@ def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
     discard(shared, bare, weights, posts, keys)
     sizes = F.least("size", "hub_size") >= F.lit(least - 1e-9) * F.greatest("size", "hub_size")
     pairs = stored(crowds.where("id <> hub").where(sizes).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "simhash-pairs")
-    links = _verified(pairs, hashes, least)
+    # Marks are a tenth of the sets: what they tell apart is not moved again.
+    mark = lambda k, of: sets.select(F.col("id").alias(k), F.col("mark").alias(of))
+    marked = stored(pairs.join(mark("a", "left"), "a"), "simhash-marked")
+    likely = stored(_alike(marked.join(mark("b", "right"), "b"), least), "simhash-likely")
+    links = _verified(likely, hashes, least)
     roots = stored(components(links), "simhash-roots")
     rooted = stored(crowds.join(roots, crowds["id"] == roots["node"], "left").select("hub", "id", "size", F.coalesce("root", "id").alias("root")), "simhash-rooted")
     hubs = stored(crowds.select("hub").distinct().join(roots, F.col("hub") == roots["node"], "left").select("hub", F.coalesce("root", "hub").alias("hub_root")), "simhash-hub-roots")
@@ -432,17 +471,20 @@ def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
     searchers = split.where("few and si * sj > 1").withColumn("i", cut("si", 1)).withColumn("j", every("sj")).withColumn("side", F.lit(0))
     others = split.withColumn("j", cut("sj", 2)).withColumn("i", every("si")).withColumn("side", F.lit(1))
     dealt = stored(searchers.unionByName(others).select("hub", "i", "j", "side", "few", "id", "root", "size"), "simhash-dealt")
-    discard(crowds, pairs, roots, rooted, hubs, members, apart)
+    discard(crowds, pairs, marked, likely, roots, rooted, hubs, members, apart)
     total = dealt.agg(F.sum("size")).first()[0]
     if total:
         buckets = -(-total // (4 * block))
-        full = dealt.join(sets.join(hashes, "id").select("id", "mark", "hashes"), "id").withColumn("bucket", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(buckets)))
+        narrow = dealt.join(sets.select("id", "mark"), "id").withColumn("bucket", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(buckets)))
+        near = stored(narrow.groupBy("bucket").applyInArrow(lambda found: _bucket_near(found, least), narrow.schema), "simhash-near")
+        full = near.join(hashes, "id")
 
         def work(found: pa.Table) -> pa.Table:
             a, b = _bucket_links(found, least)
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         more = stored(full.groupBy("bucket").applyInArrow(work, "a long, b long"), "simhash-more")
+        discard(near)
         links = links.unionByName(more)
     discard(hashes, dealt)
     named = _named(sets.select("id", "least"), links)
