@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segspark.operators.scores import r
-from segspark.operators.training import _dense, _latent, _summed, _world, factors, responsibilities, session_stats, train_subspace
-from segspark.operators.vectors import _LK, _parts, covariance, dot, log_likelihoods, mapped, mean_vectors, posteriors, unit, within_covariance
+from segspark.operators.training import _dense, _latent, _named_world, _summed, _world, added, factors, held, responsibilities, session_stats, train_subspace
+from segspark.operators.vectors import _LK, _parts, covariance, dot, likelihoods, mapped, mean_vectors, moments, posteriors, unit, within_covariance
 from segspark.registry import query
 
 
-def added(stats: DataFrame, by: str) -> DataFrame:
-    """Statistics of finer rows added up by key."""
-    cells = lambda c: stats.select(by, F.posexplode(c).alias("pos", "x")).groupBy(by, "pos").agg(F.sum("x").alias("x")).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(c))
-    return cells("n").join(cells("f"), by)
+def cells(stats: DataFrame, by: str, names: list, dims: int) -> DataFrame:
+    """by, comp, pos, n, f: a statistics row as one row for each component and coordinate."""
+    at = F.floor(F.col("i") / dims).cast("int")
+    long = stats.select(by, "n", F.posexplode("f").alias("i", "f"))
+    return long.select(by, F.get(F.array(*[F.lit(x) for x in names]), at).alias("comp"), (F.col("i") % dims).alias("pos"), F.get("n", at).alias("n"), "f")
 
 
 def without(stats: DataFrame, by: str, t: np.ndarray, mu: np.ndarray, var: np.ndarray) -> DataFrame:
@@ -96,36 +97,47 @@ def train_plda(rows: DataFrame, by: str, rank: int, rounds: int = 5, seed: int =
     return mean, load, resid
 
 
+def _speaker_cells(v) -> DataFrame:
+    """label, comp, pos, n, f, mu, var: a speaker's statistics beside the world's means."""
+    names, w, mu, var = _named_world(v)
+    stats = session_stats(v.embeddings.select("label", "v"), "label", w, mu, var)
+    return cells(stats, "label", names, mu.shape[1]).join(v.comps.select("comp", "pos", "mu", "var"), ["comp", "pos"])
+
+
 @query("map_offset", "LFA-06 JFA-09 JFA-10 SUP-01", f"{_LK}, st AS (SELECT label, comp, pos, sum(gamma * x) AS f, sum(gamma) AS n FROM post JOIN vectors USING (vec_id) GROUP BY label, comp, pos) SELECT label, comp, pos, round((f - n * mu) / (n + 16) + 3e-8, 6) AS z FROM st JOIN comps USING (comp, pos)")
 def _(v):
     """Relevance-weighted offset of a speaker's means from the world's: (F - N mu) / (N + tau)."""
-    rows = posteriors(log_likelihoods(v.vectors, v.comps)).select("vec_id", "comp", "gamma").join(v.vectors, "vec_id")
-    st = rows.groupBy("label", "comp", "pos").agg(F.sum(F.col("gamma") * F.col("x")).alias("f"), F.sum("gamma").alias("n"))
-    return st.join(F.broadcast(v.comps), ["comp", "pos"]).select("label", "comp", "pos", r((F.col("f") - F.col("n") * F.col("mu")) / (F.col("n") + 16)).alias("z"))
+    return _speaker_cells(v).select("label", "comp", "pos", r((F.col("f") - F.col("n") * F.col("mu")) / (F.col("n") + 16)).alias("z"))
 
 
 @query("stats_by_speaker", "JFA-01 LFA-01 LFA-02 LFA-03 JFA-14", f"{_LK}, st AS (SELECT vec_id, label, comp, pos, gamma * (x - mu) AS f FROM post JOIN vectors USING (vec_id) JOIN comps USING (comp, pos)) SELECT label, comp, pos, round(sum(f), 5) AS f FROM st GROUP BY label, comp, pos")
 def _(v):
     """First-order statistics around the world's means, added over a speaker's sessions."""
-    rows = posteriors(log_likelihoods(v.vectors, v.comps)).select("vec_id", "comp", "gamma").join(v.vectors, "vec_id").join(F.broadcast(v.comps), ["comp", "pos"])
-    return rows.groupBy("label", "comp", "pos").agg(r(F.sum(F.col("gamma") * (F.col("x") - F.col("mu"))), 5).alias("f"))
+    return _speaker_cells(v).select("label", "comp", "pos", r(F.col("f") - F.col("n") * F.col("mu"), 5).alias("f"))
 
 
 @query("gmm_top_mass", "TOP-02", f"{_LK}, c AS (SELECT vec_id, comp, sum(gamma) OVER (PARTITION BY vec_id ORDER BY gamma DESC, comp) - gamma AS before FROM post) SELECT vec_id, count(*) AS n FROM c WHERE before < 0.9 GROUP BY vec_id")
 def _(v):
     """How many components hold the first nine tenths of a row's likelihood."""
-    p = posteriors(log_likelihoods(v.vectors, v.comps))
-    before = F.sum("gamma").over(Window.partitionBy("vec_id").orderBy(F.col("gamma").desc(), "comp")) - F.col("gamma")
-    return p.select("vec_id", before.alias("before")).where("before < 0.9").groupBy("vec_id").agg(F.count("*").alias("n"))
+    down = F.reverse(F.array_sort(F.col("gamma")))
+    held_mass = lambda gamma: F.aggregate(gamma, F.struct(F.lit(0.0).alias("mass"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct((s["mass"] + x).alias("mass"), (s["n"] + F.when(s["mass"] < 0.9, 1).otherwise(0)).alias("n")), lambda s: s["n"])
+    return posteriors(likelihoods(v)[1]).select("vec_id", held_mass(down).alias("n"))
 
 
 @query("feature_mapping", "GMM-15 NRM-05 NRM-06", f"{_LK}, best AS (SELECT vec_id, arg_max(comp, lk) AS comp FROM lk GROUP BY vec_id), g AS (SELECT pos, avg(x) AS gm, var_pop(x) AS gv FROM vectors GROUP BY pos) SELECT vec_id, pos, round((x - mu) * sqrt(gv / var) + gm, 5) AS x FROM vectors JOIN best USING (vec_id) JOIN comps USING (comp, pos) JOIN g USING (pos)")
 def _(v):
     """Each row leaves its best component for the pooled distribution."""
-    best = log_likelihoods(v.vectors, v.comps).groupBy("vec_id").agg(F.max_by("comp", "lk").alias("comp"))
-    g = v.vectors.groupBy("pos").agg(F.avg("x").alias("gm"), F.var_pop("x").alias("gv"))
-    rows = v.vectors.join(best, "vec_id").join(F.broadcast(v.comps), ["comp", "pos"]).join(F.broadcast(g), "pos")
-    return rows.select("vec_id", "pos", r((F.col("x") - F.col("mu")) * F.sqrt(F.col("gv") / F.col("var")) + F.col("gm"), 5).alias("x"))
+    _, _, mu, var = _named_world(v)
+    mean, pooled = moments(v.embeddings)
+
+    @F.pandas_udf("array<double>")
+    def moved(x: pd.Series, best: pd.Series) -> pd.Series:
+        k = best.to_numpy(int)
+        return pd.Series(list((_dense(x) - mu[k]) * np.sqrt(pooled / var[k]) + mean)) if len(x) else x
+
+    best = F.array_position("lk", F.array_max("lk")) - 1
+    rows = likelihoods(v)[1].select("vec_id", F.posexplode(moved("v", best)).alias("pos", "x"))
+    return rows.select("vec_id", "pos", r("x", 5).alias("x"))
 
 
 @query("score_max_other", "JOI-08", "SELECT a.client, a.segment, round(max(b.llr) + 3e-8, 6) AS other FROM scores a JOIN scores b ON a.segment = b.segment AND a.client <> b.client GROUP BY 1, 2")
@@ -171,7 +183,8 @@ def _(v):
 def _(v):
     w, mu, var = _world(v)
     stats = session_stats(v.embeddings.select("vec_id", "v"), "vec_id", w, mu, var)
-    t, mu2 = minimum_divergence(stats, train_subspace(stats, mu, var, 3, 2), mu, var)
+    with held(stats):
+        t, mu2 = minimum_divergence(stats, train_subspace(stats, mu, var, 3, 2), mu, var)
     return factors(stats, "vec_id", t, mu2, var).select("vec_id", F.transform("w", lambda x: F.round(x, 4)).alias("w"))
 
 
@@ -189,7 +202,8 @@ def _(v):
     """The training criterion after 0 to 3 rounds."""
     w, mu, var = _world(v)
     stats = session_stats(v.embeddings.select("vec_id", "v"), "vec_id", w, mu, var)
-    rows = [(k, round(log_likelihood(stats, train_subspace(stats, mu, var, 3, k), mu, var), 4)) for k in range(4)]
+    with held(stats):
+        rows = [(k, round(log_likelihood(stats, train_subspace(stats, mu, var, 3, k), mu, var), 4)) for k in range(4)]
     return v.spark.createDataFrame(rows, "round int, llk double")
 
 

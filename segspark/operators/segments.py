@@ -45,18 +45,22 @@ def overlaps(a: DataFrame, b: DataFrame, width: int = 64) -> DataFrame:
     return both.where((F.col("end") > F.col("start")) & (F.col("bin") == F.floor(F.col("start") / width))).drop("bin")
 
 
+def gaps(segments: DataFrame, ends: DataFrame) -> DataFrame:
+    """source, begin, length: what the segments leave free from frame 0 to each source's `end`."""
+    covered = merged(segments.select("source", "begin", "length"), ["source"])
+    order = Window.partitionBy("source").orderBy("begin")
+    # A row of length 0 at the end closes each source, with segments or without.
+    closed = covered.unionByName(ends.select("source", F.col("end").alias("begin"), F.lit(0).cast("long").alias("length")))
+    begin = F.coalesce(F.max(F.col("begin") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    free = closed.select("source", begin.alias("from"), F.col("begin").alias("to"))
+    return free.where("to > from").select("source", F.col("from").alias("begin"), (F.col("to") - F.col("from")).alias("length"))
+
+
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The parts of a outside all segments of b; b is merged first, so each gap is seen once."""
-    cut = overlaps(a, merged(b.select("source", "begin", "length"), ["source"]))
-    keys = [c for c in a.columns]
-    order = Window.partitionBy(*keys).orderBy("start")
-    after = F.lead("start").over(order)
-    whole_end = F.col("begin") + F.col("length")
-    gaps = cut.withColumn("to", F.coalesce(after, whole_end)).select(*keys, F.col("end").alias("from"), "to")
-    first = cut.groupBy(*keys).agg(F.min("start").alias("to")).select(*keys, F.col("begin").alias("from"), "to")
-    untouched = a.join(cut.select(*keys).distinct(), keys, "left_anti").select(*keys, F.col("begin").alias("from"), whole_end.alias("to"))
-    rest = [c for c in keys if c not in ("begin", "length")]
-    return gaps.unionByName(first).unionByName(untouched).where("to > from").select(*rest, F.col("from").alias("begin"), (F.col("to") - F.col("from")).alias("length"))
+    """The parts of a outside all segments of b: its overlaps with the gaps of b."""
+    ends = a.groupBy("source").agg(F.max(F.col("begin") + F.col("length")).alias("end"))
+    rest = [c for c in a.columns if c not in ("begin", "length")]
+    return overlaps(a, gaps(b, ends)).select(*rest, F.col("start").alias("begin"), (F.col("end") - F.col("start")).alias("length"))
 
 
 def pieces(segments: DataFrame, size: int) -> DataFrame:

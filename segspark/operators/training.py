@@ -6,8 +6,12 @@ only those (components x dims, or rank x rank) reach the driver, where the small
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +44,35 @@ def _summed(rows: DataFrame, work) -> np.ndarray:
     return out.reshape(shape)
 
 
+def component_likelihoods(x: np.ndarray, w: np.ndarray, mu: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """Log of weight times density, rows x components; squares are expanded around the mean of the components' means."""
+    centre = mu.mean(0)
+    x, m, inv = x - centre, mu - centre, 1 / var
+    squares = (x * x) @ inv.T - 2 * (x @ (m * inv).T) + (m * m * inv).sum(1)
+    return np.log(w) - 0.5 * (squares + np.log(2 * np.pi * var).sum(1))
+
+
 def responsibilities(x: np.ndarray, w: np.ndarray, mu: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of each component and log likelihood of each row."""
-    e = -0.5 * ((x[:, None, :] - mu) ** 2 / var + np.log(2 * np.pi * var)).sum(2) + np.log(w)
+    e = component_likelihoods(x, w, mu, var)
     top = e.max(1, keepdims=True)
     llk = top + np.log(np.exp(e - top).sum(1, keepdims=True))
     return np.exp(e - llk), llk[:, 0]
 
 
+@contextmanager
+def held(rows: DataFrame) -> Iterator[DataFrame]:
+    """Rows for many passes: kept by the executors while in use, and computed again where one is lost."""
+    if rows.is_cached:
+        yield rows
+        return
+    rows.persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def train_mixture(rows: DataFrame, w: np.ndarray, mu: np.ndarray, var: np.ndarray, rounds: int = 5, floor: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
     """EM over `v`; variances are floored at `floor` of the global ones. Returns the model and each round's mean LLK."""
     world = _summed(rows, lambda b: np.stack([(x := _dense(b["v"])).sum(0), (x * x).sum(0), np.full(x.shape[1], len(x))]))
@@ -80,19 +105,20 @@ def train_subspace(stats: DataFrame, mu: np.ndarray, var: np.ndarray, rank: int,
     """Total-variability matrix T (comps x dims x rank) by EM over rows (n: array by comp, f: array by comp x dims)."""
     c, d = mu.shape
     t = np.random.default_rng(seed).normal(size=(c, d, rank)) * np.sqrt(var)[:, :, None] * 0.1
-    for _ in range(rounds):
-
-        def step(b, t=t):
-            n, f = _dense(b["n"]), _dense(b["f"]).reshape(-1, c, d) - _dense(b["n"])[:, :, None] * mu
-            w, cov = _latent(n, f, t, var)
-            second = cov + w[:, :, None] * w[:, None, :]
-            a = np.einsum("uc,uij->cij", n, second)
-            b2 = np.einsum("ucd,ui->cdi", f, w)
-            return np.concatenate([a.reshape(c, -1), b2.reshape(c, -1)], axis=1)
-
-        s = _summed(stats, step)
-        a, b2 = s[:, : rank * rank].reshape(c, rank, rank), s[:, rank * rank :].reshape(c, d, rank)
-        t = np.stack([np.linalg.solve(a[k] + 1e-9 * np.eye(rank), b2[k].T).T for k in range(c)])
+    with held(stats):
+        for _ in range(rounds):
+
+            def step(b, t=t):
+                n, f = _dense(b["n"]), _dense(b["f"]).reshape(-1, c, d) - _dense(b["n"])[:, :, None] * mu
+                w, cov = _latent(n, f, t, var)
+                second = cov + w[:, :, None] * w[:, None, :]
+                a = np.einsum("uc,uij->cij", n, second)
+                b2 = np.einsum("ucd,ui->cdi", f, w)
+                return np.concatenate([a.reshape(c, -1), b2.reshape(c, -1)], axis=1)
+
+            s = _summed(stats, step)
+            a, b2 = s[:, : rank * rank].reshape(c, rank, rank), s[:, rank * rank :].reshape(c, d, rank)
+            t = np.stack([np.linalg.solve(a[k] + 1e-9 * np.eye(rank), b2[k].T).T for k in range(c)])
     return t
 
 
@@ -104,20 +130,62 @@ def _latent(n: np.ndarray, f: np.ndarray, t: np.ndarray, var: np.ndarray) -> tup
     return np.einsum("uij,uj->ui", cov, np.einsum("ucd,cdi->ui", f, scaled)), cov
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    return np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
+
+
+def _batch(by: str, keys: pa.Array, n: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    lists = [pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], m.ravel()) for m in (n, f)]
+    return pa.RecordBatch.from_arrays([keys, *lists], [by, "n", "f"])
+
+
+def added(parts: DataFrame, by: str) -> DataFrame:
+    """Rows (by, n, f) added up by key, one pass over sorted rows, so a task holds no more than a batch and one key's sums."""
+
+    def work(batches):
+        held_key, n, f = None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0).to_pylist()
+            starts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            bn, bf = np.add.reduceat(_rows(b.column(1)), starts), np.add.reduceat(_rows(b.column(2)), starts)
+            if n is not None and held_key.to_pylist()[0] == keys[0]:
+                bn[0], bf[0] = bn[0] + n[0], bf[0] + f[0]
+            elif n is not None:
+                yield _batch(by, held_key, n, f)
+            if len(starts) > 1:
+                yield _batch(by, b.column(0).take(pa.array(starts[:-1])), bn[:-1], bf[:-1])
+            held_key, n, f = b.column(0).take(pa.array(starts[-1:])), bn[-1:], bf[-1:]
+        if n is not None:
+            yield _batch(by, held_key, n, f)
+
+    ordered = parts.select(by, "n", "f").repartition(by).sortWithinPartitions(by)
+    return ordered.mapInArrow(work, f"{by} {dict(parts.dtypes)[by]}, n array<double>, f array<double>")
+
+
 def session_stats(rows: DataFrame, by: str, w: np.ndarray, mu: np.ndarray, var: np.ndarray) -> DataFrame:
-    """by, n (array by component), f (flattened components x dims): zero and first order statistics."""
+    """by, n (array by component), f (flattened components x dims): zero and first order statistics.
+
+    A batch is added up before the shuffle, which so moves a row for each key of a batch, not one for each cell of a frame.
+    """
 
     def work(batches):
         for b in batches:
-            if len(b):
-                x = _dense(b["v"])
+            if b.num_rows:
+                x = _rows(b.column(1))
                 g, _ = responsibilities(x, w, mu, var)
-                yield pd.DataFrame({by: b[by], "n": list(g), "f": list((g[:, :, None] * x[:, None, :]).reshape(len(x), -1))})
+                coded = b.column(0).dictionary_encode(null_encoding="encode")
+                codes = np.asarray(coded.indices)
+                order = np.argsort(codes, kind="stable")
+                starts = np.searchsorted(codes[order], np.arange(len(coded.dictionary)))
+                g, x = g[order], x[order]
+                f = np.stack([(g[i:j].T @ x[i:j]).ravel() for i, j in zip(starts, [*starts[1:], len(x)])])
+                yield _batch(by, coded.dictionary, np.add.reduceat(g, starts), f)
 
-    kind = dict(rows.dtypes)[by]
-    each = rows.select(by, "v").mapInPandas(work, f"{by} {kind}, n array<double>, f array<double>")
-    cells = lambda c: each.select(by, F.posexplode(c).alias("pos", "x")).groupBy(by, "pos").agg(F.sum("x").alias("x")).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(c))
-    return cells("n").join(cells("f"), by)
+    parts = rows.select(by, F.col("v").cast("array<double>").alias("v")).mapInArrow(work, f"{by} {dict(rows.dtypes)[by]}, n array<double>, f array<double>")
+    return added(parts, by)
 
 
 def factors(stats: DataFrame, by: str, t: np.ndarray, mu: np.ndarray, var: np.ndarray) -> DataFrame:
@@ -177,11 +245,16 @@ def viterbi(rows: DataFrame, order: str, emissions: list[str], stay: float) -> D
     return rows.groupBy("source").applyInPandas(work, f"source long, {order} long, state int")
 
 
-def _world(v) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _named_world(v) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Names, weights, means and variances of the components, in the order of names."""
     rows = sorted(v.comps.collect(), key=lambda r: (r["comp"], r["pos"]))
     names = sorted({r["comp"] for r in rows})
-    get = lambda key: np.array([[r[key] for r in rows if r["comp"] == c] for c in names])
-    return get("weight")[:, 0], get("mu"), get("var")
+    get = lambda key: np.array([r[key] for r in rows]).reshape(len(names), -1)
+    return names, get("weight")[:, 0], get("mu"), get("var")
+
+
+def _world(v) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _named_world(v)[1:]
 
 
 @query("gmm_train_em", "GMM-03 GMM-05 GMM-18")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segspark.operators.scores import r
+from segspark.operators.training import _dense, _named_world, _summed, component_likelihoods, responsibilities
 from segspark.registry import query
 
 #: Most dimensions whose square is gathered on the driver.
@@ -105,18 +106,45 @@ def trial_scores(trials: DataFrame, models: DataFrame, segments: DataFrame, scor
     return joined.select("model", "segment", score(F.col("m"), F.col("s")).alias("score"))
 
 
-def log_likelihoods(vectors: DataFrame, comps: DataFrame) -> DataFrame:
-    """vec_id, comp, lk: log of weight times the diagonal Gaussian's density. comps are few, with pos, mu, var, weight."""
-    term = F.sum(-0.5 * (F.ln(2 * math.pi * F.col("var")) + (F.col("x") - F.col("mu")) * (F.col("x") - F.col("mu")) / F.col("var")))
-    return vectors.join(F.broadcast(comps), "pos").groupBy("vec_id", "comp").agg((F.first("weight").alias("w")), term.alias("e")).select("vec_id", "comp", (F.ln("w") + F.col("e")).alias("lk"))
+def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population variance by coordinate of `v`, summed around the first row."""
+    first = rows.select("v").first()
+    if first is None:
+        raise ValueError("no rows")
+    around = np.array(first[0])
+    s = _summed(rows.select("v"), lambda b: np.stack([(x := _dense(b["v"]) - around).sum(0), (x * x).sum(0), np.full(x.shape[1], len(x))]))
+    mean = s[0] / s[2]
+    return mean + around, s[1] / s[2] - mean * mean
 
 
-def posteriors(lk: DataFrame) -> DataFrame:
-    """vec_id, comp, lk, llk (of the mixture) and gamma."""
-    whole = Window.partitionBy("vec_id")
-    top = lk.withColumn("top", F.max("lk").over(whole))
-    rows = top.withColumn("llk", F.col("top") + F.ln(F.sum(F.exp(F.col("lk") - F.col("top"))).over(whole)))
-    return rows.withColumn("gamma", F.exp(F.col("lk") - F.col("llk"))).drop("top")
+def likelihoods(v, rows: DataFrame | None = None) -> tuple[list, DataFrame]:
+    """The components' names and vec_id, label, v, lk: by component, the log of weight times the diagonal Gaussian's density."""
+    names, w, mu, var = _named_world(v)
+
+    @F.pandas_udf("array<double>")
+    def densities(x: pd.Series) -> pd.Series:
+        return pd.Series(list(component_likelihoods(_dense(x), w, mu, var))) if len(x) else x
+
+    return names, (v.embeddings if rows is None else rows).withColumn("lk", densities("v"))
+
+
+def log_sum(lk: Column) -> Column:
+    """Log of the sum of exponentials of an array."""
+    return F.array_max(lk) + F.ln(F.aggregate(lk, F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(lk))))
+
+
+def posteriors(rows: DataFrame) -> DataFrame:
+    """rows with llk (of the mixture) and gamma, the posterior by component."""
+    return rows.withColumn("llk", log_sum(F.col("lk"))).withColumn("gamma", F.transform("lk", lambda x: F.exp(x - F.col("llk"))))
+
+
+def ranked(lk: Column) -> Column:
+    """Components (lk, i), the likeliest first, ties by place."""
+    return F.transform(F.array_sort(F.transform(lk, lambda x, i: F.struct((-x).alias("lk"), i.alias("i")))), lambda s: F.struct((-s["lk"]).alias("lk"), s["i"].alias("i")))
+
+
+def named(names: list, place: Column) -> Column:
+    return F.get(F.array(*[F.lit(x) for x in names]), place)
 
 
 _LK = ", lk AS (SELECT vec_id, comp, ln(any_value(weight)) + sum(-0.5 * (ln(2 * pi() * var) + (x - mu) * (x - mu) / var)) AS lk FROM vectors JOIN comps USING (pos) GROUP BY vec_id, comp), top AS (SELECT vec_id, max(lk) AS top FROM lk GROUP BY vec_id), llk AS (SELECT vec_id, any_value(top) + ln(sum(exp(lk - top))) AS llk FROM lk JOIN top USING (vec_id) GROUP BY vec_id), post AS (SELECT vec_id, comp, lk, llk, exp(lk - llk) AS gamma FROM lk JOIN llk USING (vec_id))"
@@ -124,41 +152,51 @@ _LK = ", lk AS (SELECT vec_id, comp, ln(any_value(weight)) + sum(-0.5 * (ln(2 *
 
 @query("gmm_llk", "GMM-01 SRC-08 SCO-01 AGG-10", f"{_LK} SELECT vec_id, round(llk, 5) AS llk FROM llk")
 def _(v):
-    return posteriors(log_likelihoods(v.vectors, v.comps)).groupBy("vec_id").agg(r(F.first("llk"), 5).alias("llk"))
+    return likelihoods(v)[1].select("vec_id", r(log_sum(F.col("lk")), 5).alias("llk"))
+
+
+def em_stats(v, rows: DataFrame) -> DataFrame:
+    """comp, pos, n, f, s: statistics of order zero to two, added up in the tasks; components x dims rows."""
+    names, w, mu, var = _named_world(v)
+
+    def step(b):
+        x = _dense(b["v"])
+        g, _ = responsibilities(x, w, mu, var)
+        return np.stack([np.repeat(g.sum(0)[:, None], x.shape[1], 1), g.T @ x, g.T @ (x * x)])
+
+    n, f, s = _summed(rows.select("v"), step)
+    c, d = mu.shape
+    cells = [(names[i], j, float(n[i, j]), float(f[i, j]), float(s[i, j])) for i in range(c) for j in range(d)]
+    return v.spark.createDataFrame(cells, f"comp {dict(v.comps.dtypes)['comp']}, pos int, n double, f double, s double")
 
 
 @query("gmm_em_stats", "GMM-02 JFA-01 LFA-01 TV-02 SRC-10", f"{_LK} SELECT comp, pos, round(sum(gamma * x), 5) AS f, round(sum(gamma * x * x), 5) AS s, round(sum(gamma), 5) AS n FROM post JOIN vectors USING (vec_id) GROUP BY comp, pos")
 def _(v):
-    rows = posteriors(log_likelihoods(v.vectors, v.comps)).select("vec_id", "comp", "gamma").join(v.vectors, "vec_id")
-    g, x = F.col("gamma"), F.col("x")
-    return rows.groupBy("comp", "pos").agg(r(F.sum(g * x), 5).alias("f"), r(F.sum(g * x * x), 5).alias("s"), r(F.sum(g), 5).alias("n"))
+    return em_stats(v, v.embeddings).select("comp", "pos", *[r(c, 5).alias(c) for c in "fsn"])
 
 
 @query("gmm_map_means", "GMM-13 ONL-05", f"{_LK}, st AS (SELECT comp, pos, sum(gamma * x) AS f, sum(gamma) AS n FROM post JOIN vectors USING (vec_id) WHERE vec_id % 2 = 0 GROUP BY comp, pos) SELECT comp, pos, round((f + 14 * mu) / (n + 14) + 3e-8, 6) AS mu FROM st JOIN comps USING (comp, pos)")
 def _(v):
-    even = v.vectors.where("vec_id % 2 = 0")
-    rows = posteriors(log_likelihoods(even, v.comps)).select("vec_id", "comp", "gamma").join(even, "vec_id")
-    st = rows.groupBy("comp", "pos").agg(F.sum(F.col("gamma") * F.col("x")).alias("f"), F.sum("gamma").alias("n"))
-    return st.join(F.broadcast(v.comps), ["comp", "pos"]).select("comp", "pos", r((F.col("f") + 14 * F.col("mu")) / (F.col("n") + 14)).alias("mu"))
+    return em_stats(v, v.embeddings.where("vec_id % 2 = 0")).join(v.comps, ["comp", "pos"]).select("comp", "pos", r((F.col("f") + 14 * F.col("mu")) / (F.col("n") + 14)).alias("mu"))
 
 
 @query("gmm_top_components", "TOP-01 SRC-21 SRC-22", f"{_LK} SELECT vec_id, comp, k FROM (SELECT vec_id, comp, row_number() OVER (PARTITION BY vec_id ORDER BY lk DESC, comp) AS k FROM lk) WHERE k <= 3")
 def _(v):
-    lk = log_likelihoods(v.vectors, v.comps)
-    k = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("lk").desc(), "comp"))
-    return lk.select("vec_id", "comp", k.cast("long").alias("k")).where("k <= 3")
+    names, rows = likelihoods(v)
+    top = rows.select("vec_id", F.posexplode(F.slice(ranked(F.col("lk")), 1, 3)).alias("k", "c"))
+    return top.select("vec_id", named(names, F.col("c.i")).alias("comp"), (F.col("k") + 1).cast("long").alias("k"))
 
 
 @query("gmm_best_component", "TOP-08 GMM-17", f"{_LK} SELECT vec_id, arg_max(comp, lk) AS sym FROM lk GROUP BY vec_id")
 def _(v):
-    return log_likelihoods(v.vectors, v.comps).groupBy("vec_id").agg(F.max_by("comp", "lk").alias("sym"))
+    names, rows = likelihoods(v)
+    return rows.select("vec_id", named(names, (F.array_position("lk", F.array_max("lk")) - 1).cast("int")).alias("sym"))
 
 
 @query("gmm_top_llk", "TOP-03 SCO-01", f"{_LK}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY lk DESC, comp) AS k FROM lk) SELECT vec_id, round(max(lk) + ln(sum(exp(lk - top))), 5) AS llk FROM k JOIN top USING (vec_id) WHERE k <= 3 GROUP BY vec_id")
 def _(v):
-    whole = Window.partitionBy("vec_id")
-    k = log_likelihoods(v.vectors, v.comps).select("vec_id", "lk", F.row_number().over(whole.orderBy(F.col("lk").desc(), "comp")).alias("k"), F.max("lk").over(whole).alias("top")).where("k <= 3")
-    return k.groupBy("vec_id").agg(r(F.max("lk") + F.ln(F.sum(F.exp(F.col("lk") - F.col("top")))), 5).alias("llk"))
+    top = likelihoods(v)[1].select("vec_id", F.slice(F.reverse(F.array_sort("lk")), 1, 3).alias("lk"))
+    return top.select("vec_id", r(log_sum(F.col("lk")), 5).alias("llk"))
 
 
 @query("gmm_weight_rank", "TOP-04 FIL-10", "SELECT comp, round(weight + 3e-8, 6) AS weight, row_number() OVER (ORDER BY weight DESC, comp) AS k FROM (SELECT DISTINCT comp, weight FROM comps) QUALIFY k <= 5")
@@ -168,9 +206,10 @@ def _(v):
 
 @query("gmm_confusion", "AGG-16", f"{_LK}, k AS (SELECT vec_id, comp, row_number() OVER (PARTITION BY vec_id ORDER BY lk DESC, comp) AS k FROM lk) SELECT a.comp AS best, b.comp AS other, b.k AS place, count(*) AS n FROM k a JOIN k b USING (vec_id) WHERE a.k = 1 AND b.k BETWEEN 2 AND 4 GROUP BY 1, 2, 3")
 def _(v):
-    whole = Window.partitionBy("vec_id").orderBy(F.col("lk").desc(), "comp")
-    k = log_likelihoods(v.vectors, v.comps).select("vec_id", F.col("comp").alias("other"), F.first("comp").over(whole).alias("best"), F.row_number().over(whole).cast("long").alias("place"))
-    return k.where("place between 2 and 4").groupBy("best", "other", "place").agg(F.count("*").alias("n"))
+    names, rows = likelihoods(v)
+    order = rows.select(F.slice(ranked(F.col("lk")), 1, 4).alias("c"))
+    rest = order.select(F.col("c")[0]["i"].alias("best"), F.posexplode(F.slice("c", 2, 3)).alias("k", "o"))
+    return rest.groupBy(named(names, F.col("best")).alias("best"), named(names, F.col("o.i")).alias("other"), (F.col("k") + 2).cast("long").alias("place")).agg(F.count("*").alias("n"))
 
 
 @query("gmm_variance_floor", "GMM-07", ", g AS (SELECT pos, var_pop(x) AS gv FROM vectors GROUP BY pos) SELECT comp, pos, round(least(2.0 * gv, greatest(0.9 * gv, var)), 8) AS var FROM comps JOIN g USING (pos)")
