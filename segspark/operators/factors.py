@@ -104,13 +104,13 @@ def _speaker_cells(v) -> DataFrame:
     return cells(stats, "label", names, mu.shape[1]).join(v.comps.select("comp", "pos", "mu", "var"), ["comp", "pos"])
 
 
-@query("map_offset", "LFA-06 JFA-09 JFA-10 SUP-01", f"{_LK}, st AS (SELECT label, comp, pos, sum(gamma * x) AS f, sum(gamma) AS n FROM post JOIN vectors USING (vec_id) GROUP BY label, comp, pos) SELECT label, comp, pos, round((f - n * mu) / (n + 16) + 3e-8, 6) AS z FROM st JOIN comps USING (comp, pos)")
+@query("map_offset", "LFA-06 JFA-10 SUP-01", f"{_LK}, st AS (SELECT label, comp, pos, sum(gamma * x) AS f, sum(gamma) AS n FROM post JOIN vectors USING (vec_id) GROUP BY label, comp, pos) SELECT label, comp, pos, round((f - n * mu) / (n + 16) + 3e-8, 6) AS z FROM st JOIN comps USING (comp, pos)")
 def _(v):
     """Relevance-weighted offset of a speaker's means from the world's: (F - N mu) / (N + tau)."""
     return _speaker_cells(v).select("label", "comp", "pos", r((F.col("f") - F.col("n") * F.col("mu")) / (F.col("n") + 16)).alias("z"))
 
 
-@query("stats_by_speaker", "JFA-01 LFA-01 LFA-02 LFA-03 JFA-14", f"{_LK}, st AS (SELECT vec_id, label, comp, pos, gamma * (x - mu) AS f FROM post JOIN vectors USING (vec_id) JOIN comps USING (comp, pos)) SELECT label, comp, pos, round(sum(f), 5) AS f FROM st GROUP BY label, comp, pos")
+@query("stats_by_speaker", "JFA-01 LFA-01", f"{_LK}, st AS (SELECT vec_id, label, comp, pos, gamma * (x - mu) AS f FROM post JOIN vectors USING (vec_id) JOIN comps USING (comp, pos)) SELECT label, comp, pos, round(sum(f), 5) AS f FROM st GROUP BY label, comp, pos")
 def _(v):
     """First-order statistics around the world's means, added over a speaker's sessions."""
     return _speaker_cells(v).select("label", "comp", "pos", r(F.col("f") - F.col("n") * F.col("mu"), 5).alias("f"))
@@ -124,7 +124,7 @@ def _(v):
     return posteriors(likelihoods(v)[1]).select("vec_id", held_mass(down).alias("n"))
 
 
-@query("feature_mapping", "GMM-15 NRM-05 NRM-06", f"{_LK}, best AS (SELECT vec_id, arg_max(comp, lk) AS comp FROM lk GROUP BY vec_id), g AS (SELECT pos, avg(x) AS gm, var_pop(x) AS gv FROM vectors GROUP BY pos) SELECT vec_id, pos, round((x - mu) * sqrt(gv / var) + gm, 5) AS x FROM vectors JOIN best USING (vec_id) JOIN comps USING (comp, pos) JOIN g USING (pos)")
+@query("feature_mapping", "GMM-15", f"{_LK}, best AS (SELECT vec_id, arg_max(comp, lk) AS comp FROM lk GROUP BY vec_id), g AS (SELECT pos, avg(x) AS gm, var_pop(x) AS gv FROM vectors GROUP BY pos) SELECT vec_id, pos, round((x - mu) * sqrt(gv / var) + gm, 5) AS x FROM vectors JOIN best USING (vec_id) JOIN comps USING (comp, pos) JOIN g USING (pos)")
 def _(v):
     """Each row leaves its best component for the pooled distribution."""
     _, _, mu, var = _named_world(v)
@@ -172,7 +172,7 @@ def _(v):
     return selected_runs(cover, F.col("cover") >= 0.8)
 
 
-@query("gaussian_histogram", "SCA-13 SCA-12 POST-16", "SELECT i AS bin, round(exp(-0.5 * ((i - 50) / 10.0) ** 2) / sqrt(2 * pi()) + 3e-8, 6) AS density FROM range(0, 101) t(i)")
+@query("gaussian_histogram", "SCA-13", "SELECT i AS bin, round(exp(-0.5 * ((i - 50) / 10.0) ** 2) / sqrt(2 * pi()) + 3e-8, 6) AS density FROM range(0, 101) t(i)")
 def _(v):
     """The target histogram of a standard normal over -5..5."""
     x = (F.col("id") - 50) / 10.0
@@ -188,7 +188,7 @@ def _(v):
     return factors(stats, "vec_id", t, mu2, var).select("vec_id", F.transform("w", lambda x: F.round(x, 4)).alias("w"))
 
 
-@query("subspace_residual", "TV-09 TV-13 JFA-14 JFA-15")
+@query("subspace_residual", "TV-09 TV-13 JFA-15")
 def _(v):
     """What each row's statistics keep once its own factors along an orthonormal basis are taken off."""
     w, mu, var = _world(v)
@@ -217,7 +217,7 @@ def _(v):
     vm = train_subspace(speakers, mu, var, 3, 2)
     y = factors(speakers, "label", vm, mu, var).withColumnRenamed("w", "y")
     c, d = mu.shape
-    offset = labelled.join(F.broadcast(y), "label")
+    offset = labelled.join(y, "label")
 
     def off(batches):
         for b in batches:
@@ -244,12 +244,12 @@ def _(v):
     trials, models, segments = _parts(v)
     s = mapped(moved(segments).withColumn("q", F.col("v")), q, "q").select(F.col("vec_id").alias("segment"), F.col("v").alias("s"), F.col("q").alias("sq"))
     m = mapped(mapped(moved(models).withColumn("q", F.col("v")).withColumn("p", F.col("v")), q, "q"), p.T, "p").select(F.col("label").alias("model"), F.col("v").alias("m"), F.col("q").alias("mq"), F.col("p").alias("mp"))
-    joined = trials.join(s, "segment").join(F.broadcast(m), "model")
+    joined = trials.join(s, "segment").join(m, "model")
     score = 0.5 * (dot(F.col("s"), F.col("sq")) + dot(F.col("m"), F.col("mq"))) + dot(F.col("mp"), F.col("s"))
     return joined.select("model", "segment", r(score, 4).alias("score"))
 
 
-@query("nap_scoring", "SUP-11 SCO-06 SCO-05")
+@query("nap_scoring", "SCO-06")
 def _(v):
     """Cosine of model and segment after both lost the leading within-speaker directions."""
     values, q = np.linalg.eigh(within_covariance(v.embeddings, "label"))
@@ -258,7 +258,7 @@ def _(v):
     trials, models, segments = _parts(v)
     s = mapped(segments, keep).select(F.col("vec_id").alias("segment"), unit(F.col("v")).alias("s"))
     m = mapped(models, keep).select(F.col("label").alias("model"), unit(F.col("v")).alias("m"))
-    return trials.join(s, "segment").join(F.broadcast(m), "model").select("model", "segment", r(dot(F.col("m"), F.col("s")), 4).alias("score"))
+    return trials.join(s, "segment").join(m, "model").select("model", "segment", r(dot(F.col("m"), F.col("s")), 4).alias("score"))
 
 
 def adapted_in_order(trials: pd.DataFrame, model: np.ndarray, slope: float = 8.0) -> tuple[list[float], np.ndarray]:
@@ -277,7 +277,7 @@ def adapted_in_order(trials: pd.DataFrame, model: np.ndarray, slope: float = 8.0
 def _(v):
     """Each model's trials in order of segment: an ordered recurrence for each model."""
     trials, models, segments = _parts(v)
-    rows = trials.where("pmod(segment, 2) = 1 and pmod(segment + model, 3) <> 0").join(segments.select(F.col("vec_id").alias("segment"), "v"), "segment").join(F.broadcast(models.select(F.col("label").alias("model"), F.col("v").alias("m"))), "model")
+    rows = trials.where("pmod(segment, 2) = 1 and pmod(segment + model, 3) <> 0").join(segments.select(F.col("vec_id").alias("segment"), "v"), "segment").join(models.select(F.col("label").alias("model"), F.col("v").alias("m")), "model")
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("segment")

@@ -109,7 +109,7 @@ def _(v):
 
 @query(
     "frame_cdf_warp",
-    "SCA-10 SCA-11 NRM-03 NRM-04 POST-10",
+    "SCA-10 NRM-04",
     """, c AS (SELECT source, frame_idx, (rank() OVER (PARTITION BY source ORDER BY x) - 0.5) / count(*) OVER (PARTITION BY source) AS p FROM frames)
     SELECT source, frame_idx, round(ln(p / (1 - p)) + 3e-8, 6) AS x FROM c""",
 )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segspark.operators.segments import runs
@@ -99,7 +99,26 @@ def _(v):
     return longest_match(v.symbols, [[int(s) for s in row["gram"].split()] for row in top])
 
 
-@query("conversation_symbols", "SRC-06 SRC-07", "SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS roles, count(*) AS n FROM conversations GROUP BY conv_id")
+@query("conversation_symbols", "SRC-02", "SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS roles, count(*) AS n FROM conversations GROUP BY conv_id")
 def _(v):
     rows = v.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
     return rows.select("conv_id", F.concat_ws(" ", F.transform("t", lambda x: x["role"])).alias("roles"), F.size("t").cast("long").alias("n"))
+
+
+def read_symbols(text: Column, begin: int = 0, length: int | None = None) -> Column:
+    """(idx, sym, oov) structs of a text: a run of digits is its number, any other word is -1 with its text; from `begin`, up to `length`."""
+    words = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9\x00-\x20][^\x00-\x20]*)"), F.lit(1))
+    word = lambda w, i: F.struct(i.cast("long").alias("idx"), F.coalesce(F.when(w.rlike("^[0-9]"), w.try_cast("bigint")), F.lit(-1).cast("long")).alias("sym"), F.when(w.rlike("^[0-9]"), F.lit(None)).otherwise(w).alias("oov"))
+    all_words = F.transform(words, word)
+    return F.slice(all_words, begin + 1, F.size(all_words) if length is None else F.lit(length))
+
+
+@query(
+    "source_symbols",
+    "SEQ-09",
+    ", w AS (SELECT conv_id, turn, regexp_extract_all(text, '([0-9]+|[^0-9\\x00-\\x20][^\\x00-\\x20]*)', 1) AS w FROM conversations), e AS (SELECT conv_id, turn, unnest(range(0, len(w))) AS idx, unnest(w) AS word FROM w) SELECT conv_id, turn, idx, coalesce(CASE WHEN regexp_matches(word, '^[0-9]') THEN try_cast(word AS BIGINT) END, -1) AS sym, CASE WHEN NOT regexp_matches(word, '^[0-9]') THEN word END AS oov FROM e WHERE idx >= 2 AND idx < 12",
+)
+def _(v):
+    """Ten symbols of each turn from the third on."""
+    rows = v.table("conversations").select("conv_id", "turn", F.explode(read_symbols(F.col("text"), 2, 10)).alias("s"))
+    return rows.select("conv_id", "turn", "s.idx", "s.sym", "s.oov")

@@ -250,12 +250,12 @@ def _(v):
     return trial_scores(*_parts(v), lambda m, s: r(dot(m, s) / F.sqrt(dot(m, m) * dot(s, s))))
 
 
-@query("score_dot", "SCA-16 SUP-10 SCO-04", f"{_MODELS} SELECT model, segment, round(sum(m * s) + 3e-8, 6) AS score FROM pairs GROUP BY 1, 2")
+@query("score_dot", "SCA-16 SUP-10", f"{_MODELS} SELECT model, segment, round(sum(m * s) + 3e-8, 6) AS score FROM pairs GROUP BY 1, 2")
 def _(v):
     return trial_scores(*_parts(v), lambda m, s: r(dot(m, s)))
 
 
-@query("score_mahalanobis_diagonal", "SCO-08", f"{_MODELS}, g AS (SELECT pos, var_pop(x) AS var FROM vectors GROUP BY pos) SELECT model, segment, round(-0.5 * sum((m - s) ** 2 / var), 5) AS score FROM pairs JOIN g USING (pos) GROUP BY 1, 2")
+@query("score_mahalanobis_diagonal", "SCO-07", f"{_MODELS}, g AS (SELECT pos, var_pop(x) AS var FROM vectors GROUP BY pos) SELECT model, segment, round(-0.5 * sum((m - s) ** 2 / var), 5) AS score FROM pairs JOIN g USING (pos) GROUP BY 1, 2")
 def _(v):
     var = [x[1] for x in sorted(v.vectors.groupBy("pos").agg(F.var_pop("x")).collect())]
     weights = F.array(*[F.lit(float(x)) for x in var])
@@ -280,7 +280,7 @@ def _(v):
 @query("vector_centre_speaker", "VEC-02 AGG-15", ", g AS (SELECT label, pos, avg(x) AS mu FROM vectors GROUP BY label, pos) SELECT vec_id, pos, round(x - mu + 3e-8, 6) AS x FROM vectors JOIN g USING (label, pos)")
 def _(v):
     means = v.vectors.groupBy("label", "pos").agg(F.avg("x").alias("mu"))
-    return v.vectors.join(F.broadcast(means), ["label", "pos"]).select("vec_id", "pos", r(F.col("x") - F.col("mu")).alias("x"))
+    return v.vectors.join(means, ["label", "pos"]).select("vec_id", "pos", r(F.col("x") - F.col("mu")).alias("x"))
 
 
 def _matrix(v, m: np.ndarray) -> DataFrame:
@@ -337,7 +337,7 @@ def _(v):
     rows = mapped(rows, h, "hv")
     m = mapped(mapped(models.withColumn("gv", F.col("v")).withColumn("hv", F.col("v")), g, "gv"), h, "hv")
     s = rows.select(F.col("vec_id").alias("segment"), F.struct("v", "gv", "hv").alias("s"))
-    joined = trials.join(s, "segment").join(F.broadcast(m.select(F.col("label").alias("model"), F.struct("v", "gv", "hv").alias("m"))), "model")
+    joined = trials.join(s, "segment").join(m.select(F.col("label").alias("model"), F.struct("v", "gv", "hv").alias("m")), "model")
     quad = dot(F.col("m.v"), F.col("m.gv")) + 2 * dot(F.col("m.v"), F.col("s.gv")) + dot(F.col("s.v"), F.col("s.gv"))
     return joined.select("model", "segment", r(quad - dot(F.col("m.v"), F.col("m.hv")) - dot(F.col("s.v"), F.col("s.hv")), 4).alias("score"))
 
@@ -350,7 +350,7 @@ def _(v):
     return mapped(v.embeddings, np.eye(len(u)) - u @ u.T).select("vec_id", F.transform("v", lambda x: F.round(x, 4)).alias("v"))
 
 
-@query("criterion_bic", "DIA-02 DIA-03 DIA-06", ", g AS (SELECT label, pos, var_pop(x) AS var, count(*) AS n FROM vectors GROUP BY label, pos), b AS (SELECT a.label AS a, b.label AS b, v.pos, var_pop(v.x) AS var FROM (SELECT DISTINCT label FROM embeddings) a JOIN (SELECT DISTINCT label FROM embeddings) b ON a.label < b.label JOIN vectors v ON v.label IN (a.label, b.label) GROUP BY 1, 2, 3) SELECT b.a, b.b, round(0.5 * sum((x.n + y.n) * ln(b.var) - x.n * ln(x.var) - y.n * ln(y.var)) - 0.5 * (2 * 64 + 1) * ln(any_value(x.n + y.n)), 4) AS bic FROM b JOIN g x ON x.label = b.a AND x.pos = b.pos JOIN g y ON y.label = b.b AND y.pos = b.pos GROUP BY 1, 2")
+@query("criterion_bic", "DIA-02 DIA-03", ", g AS (SELECT label, pos, var_pop(x) AS var, count(*) AS n FROM vectors GROUP BY label, pos), b AS (SELECT a.label AS a, b.label AS b, v.pos, var_pop(v.x) AS var FROM (SELECT DISTINCT label FROM embeddings) a JOIN (SELECT DISTINCT label FROM embeddings) b ON a.label < b.label JOIN vectors v ON v.label IN (a.label, b.label) GROUP BY 1, 2, 3) SELECT b.a, b.b, round(0.5 * sum((x.n + y.n) * ln(b.var) - x.n * ln(x.var) - y.n * ln(y.var)) - 0.5 * (2 * 64 + 1) * ln(any_value(x.n + y.n)), 4) AS bic FROM b JOIN g x ON x.label = b.a AND x.pos = b.pos JOIN g y ON y.label = b.b AND y.pos = b.pos GROUP BY 1, 2")
 def _(v):
     """GLLR of one against two diagonal Gaussians, less the penalty of the extra parameters."""
     g = v.vectors.groupBy("label", "pos").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"), F.var_pop("x").alias("var"), F.count("*").alias("n"))

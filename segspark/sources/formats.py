@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segspark.operators.segments import time_to_frame
@@ -26,11 +26,24 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str, step: float = 0.01) -> DataFrame:
     """source (file name), begin, length, label; the end time is an inclusive frame."""
-    rows = spark.read.text(path).where(F.trim("value") != "").select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("source"), F.split(F.trim("value"), r"\s+").alias("w"))
+    return parse_labels(spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("source"), F.col("value").alias("line")), step)
+
+
+def parse_labels(lines: DataFrame, step: float = 0.01) -> DataFrame:
+    """source, begin, length, label of rows (source, line)."""
+    rows = lines.where(F.trim("line") != "").select("source", F.split(F.trim("line"), r"\s+").alias("w"))
     begin, end = (time_to_frame(F.col("w")[i].cast("double"), step) for i in (0, 1))
     return rows.select("source", begin.alias("begin"), (end - begin + 1).alias("length"), F.col("w")[2].alias("label"))
 
 
+def clusters(segments: DataFrame) -> DataFrame:
+    """segments with `code`: labels numbered from 0 by their first segment in order of source and begin."""
+    first = segments.groupBy("label").agg(F.min(F.struct("source", "begin")).alias("first"))
+    # One row a label; the order over them all is one small sort.
+    codes = first.select("label", (F.row_number().over(Window.orderBy("first", "label")) - 1).cast("long").alias("code"))
+    return segments.join(codes, "label")
+
+
 def parse_scores(lines: DataFrame, form: str, column: str = "line") -> DataFrame:
     """gender, client, segment, decision, llr of score lines of a format in FIELDS."""
     w = F.split(F.trim(column), r"\s+")
@@ -87,3 +100,11 @@ def _(v):
     from pyspark.sql import Window
 
     return v.embeddings.select("vec_id", "label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("session"))
+
+
+@query("source_label_clusters", "SRC-06 SRC-07", ', f AS (SELECT label, min((source, "begin")) AS first FROM segments GROUP BY label), c AS (SELECT label, row_number() OVER (ORDER BY first, label) - 1 AS code FROM f) SELECT source, "begin", length, label, code FROM segments JOIN c USING (label)')
+def _(v):
+    """Label lines of many files, read into clusters that are made as their labels come up."""
+    seconds = lambda c: F.format_string("%.2f", c / 100)
+    line = F.concat_ws(" ", seconds(F.col("begin")), seconds(F.col("begin") + F.col("length") - 1), "label")
+    return clusters(parse_labels(v.segments.select("source", line.alias("line")))).select("source", "begin", "length", "label", "code")

@@ -48,4 +48,4 @@ def test_rows_that_are_not_built_are_not_claimed():
     from segspark.catalog import COVERS
 
     claimed = {row for rows in COVERS.values() for row in rows}
-    assert not claimed & {"SEQ-05", "SEQ-06", "JFA-11", "GMM-14", "DIA-05", "GMM-04", "GMM-08", "ONL-02"}
+    assert not claimed & {"SEQ-05", "SEQ-06", "JFA-11", "DIA-05", "GMM-04", "GMM-08", "ONL-02"}
