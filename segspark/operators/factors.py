@@ -231,7 +231,7 @@ def _(v):
     return factors(rest, "vec_id", um, mu, var).select("vec_id", F.transform("w", lambda x: F.round(x, 4)).alias("x"))
 
 
-@query("score_plda", "VEC-10 VEC-11 VEC-12 SCO-10 SCO-11 SCO-12 VEC-13")
+@query("score_plda", "VEC-11 SCO-11 VEC-13")
 def _(v):
     """Log likelihood ratio of one speaker against two, model vectors being enrolment means."""
     mean, load, resid = train_plda(v.embeddings, "label", 5)

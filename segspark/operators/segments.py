@@ -87,7 +87,7 @@ def frame_to_time(frame: Column, step: float = 0.01) -> Column:
     return F.floor(F.round(frame * F.lit(1000.0 * step), 6)) / 1000.0
 
 
-@query("segment_runs", "SRC-24 WIN-15 WIN-16 SEQ-09", 'SELECT source, "begin", length, label FROM segments')
+@query("segment_runs", "SRC-24 WIN-15 WIN-16", 'SELECT source, "begin", length, label FROM segments')
 def _(v):
     return v.segments.select("source", "begin", "length", "label")
 

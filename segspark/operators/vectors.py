@@ -324,7 +324,7 @@ def _(v):
     return whitened(v.embeddings, 2).select("vec_id", F.transform("v", lambda x: F.round(x, 4)).alias("v"))
 
 
-@query("score_two_covariance", "SCO-09 SCO-12")
+@query("score_two_covariance", "SCO-09")
 def _(v):
     """(m + s)'G(m + s) - m'Hm - s'Hs, as -d(m, s) after whitening by the within covariance, both sides whitened."""
     w = within_covariance(v.embeddings, "label")
