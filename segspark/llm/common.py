@@ -9,9 +9,12 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1024
+#: Bits of the map that `sieved` broadcasts, whatever the number of keys: 8 MB.
+SIEVE_BITS = 1 << 26
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -89,3 +92,18 @@ def discard(*tables: DataFrame) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def sieved(rows: DataFrame, keys: DataFrame, column: str, hit: str) -> DataFrame:
+    """rows with a boolean `hit`, false only where `column` (a hash; never null) is in no row of keys.
+
+    It spares a shuffle the rows that need no exact join; the more keys, the more other rows are
+    hits too, so an exact join has to follow. Broadcasts SIEVE_BITS bits at most.
+    """
+    at = lambda c: F.pmod(F.col(c), F.lit(SIEVE_BITS))
+    part, bits = free(rows, "sieve_part"), free(rows, "sieve_bits")
+    maps = keys.groupBy(F.bitmap_bucket_number(at(column)).alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at(column))).alias(bits))
+    place = F.bitmap_bit_position(at(column))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn(part, F.bitmap_bucket_number(at(column))).join(F.broadcast(maps), part, "left")
+    return found.withColumn(hit, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop(part, bits)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, prepare, stored
+from .common import discard, prepare, sieved, stored
 from .components import components
 
 SEED = 42
@@ -317,7 +317,9 @@ def _fewest(least: float) -> float:
 def _hashes(ids: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """id, hashes: the shingle set of each of ids, as sorted 64-bit integers."""
     wanted = stored(sets.join(ids, "id").select("id", F.col("least.row").alias("row")), "simhash-wanted")
-    texts = rows.select("row", "text").join(wanted, "row").groupBy("id").agg(F.min("text").alias("text"))
+    # One row of a key goes on, before the join, and texts that no key can be waiting for aren't shuffled.
+    perhaps = sieved(rows.select("row", "text"), wanted, "row", "hit").where("hit")
+    texts = perhaps.groupBy("row").agg(F.min("text").alias("text")).join(wanted, "row").select("id", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -225,6 +225,18 @@ def test_candidates_at_the_threshold_do_not_depend_on_other_rows():
     assert min(shared) > 0 and abs(np.mean(shared) - simhash.BANDS * (178 / 222) ** simhash.ROWS) < 0.2
 
 
+def test_sieve_misses_no_key(spark):
+    from segspark.llm.common import sieved
+
+    rows = spark.range(3000).selectExpr("xxhash64(id) AS k", "id AS sieve_bits", "id % 7 = 0 AS wanted")
+    edge = spark.createDataFrame([(k, 0, True) for k in (0, 1, 32768, 32769, -1, (1 << 26) - 1, 2**63 - 1, -(2**63))], rows.schema)
+    rows = rows.unionByName(edge)
+    got = sieved(rows, rows.where("wanted").select("k"), "k", "hit").collect()
+    assert len(got) == 3008 and set(got[0].asDict()) == {"k", "sieve_bits", "wanted", "hit"}
+    assert all(r.hit for r in got if r.wanted) and sum(r.hit and not r.wanted for r in got) < 20
+    assert not any(r.hit for r in sieved(rows, rows.where("false").select("k"), "k", "hit").collect())
+
+
 def test_dedup_keeps_a_row_of_each_group(spark):
     rng = random.Random(10)
     a, b, c = ([f"w{rng.randrange(10**9)}" for _ in range(100)] for _ in range(3))
