@@ -263,18 +263,26 @@ def _(v):
 @query("score_nearest_target", "ONL-04", "SELECT client, segment, other FROM (SELECT a.client, a.segment, b.client AS other, row_number() OVER (PARTITION BY a.client, a.segment ORDER BY abs(a.llr - b.llr), b.client) AS k FROM scores a JOIN scores b ON a.segment = b.segment AND a.client <> b.client) WHERE k = 1")
 def _(v):
     """The other target whose score of the same segment is nearest: a neighbour in order of scores."""
-    rows = v.scores.select("client", "segment", "llr")
+    rows = v.scores_in_order.select("client", "segment", "llr").where("client is not null and segment is not null")
     # Equal scores are nearest, the least name first; else the neighbour below (its least name) or above.
     same = Window.partitionBy("segment", "llr").orderBy("client").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("first", F.first("client").over(same)).withColumn("second", F.nth_value("client", 2).over(same))
-    level = rows.select("segment", "llr", F.col("first").alias("name")).distinct()
+    level = rows.where("llr is not null").select("segment", "llr", F.col("first").alias("name")).distinct()
     around = Window.partitionBy("segment").orderBy("llr")
-    level = level.select("segment", "llr", *[f(c).over(around).alias(f"{n}_{c}") for n, f in (("low", F.lag), ("high", F.lead)) for c in ("llr", "name")])
+    beyond = [f("llr", 2).over(around).alias(f"{n}_2") for n, f in (("low", F.lag), ("high", F.lead))]
+    level = level.select("segment", "llr", *[f(c).over(around).alias(f"{n}_{c}") for n, f in (("low", F.lag), ("high", F.lead)) for c in ("llr", "name")], *beyond)
     down, up = F.col("llr") - F.col("low_llr"), F.col("high_llr") - F.col("llr")
     below = F.col("high_name").isNull() | (down < up) | ((down == up) & (F.col("low_name") < F.col("high_name")))
     beside = F.when(F.col("low_name").isNotNull() & below, F.col("low_name")).otherwise(F.col("high_name"))
-    twin = F.when(F.col("client") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-    return rows.join(level, ["segment", "llr"]).select("client", "segment", F.coalesce(twin, beside).alias("other")).where("other is not null")
+    twin = F.when(F.col("llr").isNotNull(), F.when(F.col("client") == F.col("first"), F.col("second")).otherwise(F.col("first")))
+    # Two levels on one side can be equally far once the difference is rounded; only then the name decides between them.
+    level_off = F.coalesce(F.col("llr") - F.col("low_2") == down, F.lit(False)) | F.coalesce(F.col("high_2") - F.col("llr") == up, F.lit(False))
+    found = rows.join(level, ["segment", "llr"], "left").select("client", "segment", "llr", F.coalesce(twin, F.when(~level_off, beside)).alias("other"))
+    b = rows.select("segment", F.col("client").alias("b_client"), F.col("llr").alias("b_llr"))
+    apart = F.abs(F.col("llr") - F.col("b_llr"))
+    held = found.where("other is null").join(b, "segment").where("client <> b_client")
+    rest = held.groupBy("client", "segment").agg(F.min(F.struct(apart.isNull(), apart, "b_client"))["b_client"].alias("other"))
+    return found.where("other is not null").select("client", "segment", "other").unionByName(rest)
 
 
 @query("iteration_schedule", "SCA-18", "SELECT i::INT AS round, round(0.5 + (0.01 - 0.5) * i / 9.0 + 3e-8, 6) AS value FROM range(0, 10) t(i)")
