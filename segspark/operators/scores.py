@@ -107,7 +107,7 @@ def _(v):
     gender = F.when(F.col("gender") == "F", "f").otherwise("m")
     decision = F.when(F.col("llr") > 250, "t").otherwise("f")
     line = F.concat_ws(" ", F.lit("1side"), F.lit("n"), F.lit("1side"), gender, "client", F.col("segment").cast("string"), decision, F.round(F.col("llr") * 1000).cast("long").cast("string"))
-    return v.scores.select(line.alias("line"))
+    return v.scores_in_order.select(line.alias("line"))
 
 
 @query("score_etf_mdtm", "SCA-05 SCA-06 SRC-14 SRC-16 SRC-17 POST-09", """SELECT concat_ws(' ', source::VARCHAR, '1', ("begin" * 10)::VARCHAR, (length * 10 - 10)::VARCHAR, 'speaker', label, CASE WHEN source % 2 = 0 THEN 'female' ELSE 'male' END) AS etf,

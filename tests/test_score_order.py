@@ -57,3 +57,8 @@ def test_nearest_target_where_the_sums_decide(spark, tmp_path):
     events(tmp_path, [first, rest])
     got, want = both(spark, tmp_path, "score_nearest_target")
     assert got == want
+
+
+def test_nist_lines_of_halves(spark, halves):
+    got, want = both(spark, halves, "score_nist_format")
+    assert len(got) == 600 and got == want
