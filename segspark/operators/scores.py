@@ -207,7 +207,7 @@ def _(v):
 
 @query("score_short_line", "SRC-12 SRC-13", "SELECT concat_ws(' ', gender, client, CASE WHEN llr >= 250 THEN '1' ELSE '0' END, segment::VARCHAR, round(llr * 1000)::BIGINT::VARCHAR) AS line FROM scores")
 def _(v):
-    return v.scores.select(F.concat_ws(" ", "gender", "client", (F.col("llr") >= 250).cast("int").cast("string"), F.col("segment").cast("string"), F.round(F.col("llr") * 1000).cast("long").cast("string")).alias("line"))
+    return v.scores_in_order.select(F.concat_ws(" ", "gender", "client", (F.col("llr") >= 250).cast("int").cast("string"), F.col("segment").cast("string"), F.round(F.col("llr") * 1000).cast("long").cast("string")).alias("line"))
 
 
 @query("score_running_mean", "ONL-07", "SELECT client, segment, round(avg(llr) OVER (PARTITION BY client ORDER BY segment) + 3e-8, 6) AS llr FROM scores")

@@ -62,3 +62,8 @@ def test_nearest_target_where_the_sums_decide(spark, tmp_path):
 def test_nist_lines_of_halves(spark, halves):
     got, want = both(spark, halves, "score_nist_format")
     assert len(got) == 600 and got == want
+
+
+def test_short_lines_of_halves(spark, halves):
+    got, want = both(spark, halves, "score_short_line")
+    assert len(got) == 600 and got == want
