@@ -52,9 +52,9 @@ def observed(rows: DataFrame, value: str, bins: int) -> Histogram:
 
 def gaussian(bins: int = 100, reach: float = 5.0) -> Histogram:
     """Standard normal over -reach..reach, a bin's mass being its centre's density times its width, scaled to 1."""
-    edges = np.linspace(-reach, reach, bins + 1)
-    mass = np.exp(-0.5 * ((edges[:-1] + edges[1:]) / 2) ** 2)
-    return Histogram(edges, mass / mass.sum())
+    at = lambda k: (2 * k - bins) * reach / bins
+    mass = np.exp(-0.5 * at(np.arange(bins) + 0.5) ** 2)
+    return Histogram(at(np.arange(bins + 1)), mass / np.cumsum(mass)[-1])
 
 
 def warp(x: np.ndarray, raw: Histogram, target: Histogram, unobserved: float = 0.0, share: float = 0.683) -> np.ndarray:
@@ -63,19 +63,19 @@ def warp(x: np.ndarray, raw: Histogram, target: Histogram, unobserved: float = 0
     Half the `unobserved` mass lies below the least value. Beyond raw's bounds the central widths of
     the two histograms give the scale. A bin without mass, or without width, counts as passed.
     """
-    def part(v, low, high):
-        wide = high - low
-        return np.where(wide < 1e-21, 1.0, (v - low) / np.where(wide < 1e-21, 1.0, wide))
+    def part(v, wide):
+        return np.where(wide < 1e-21, 1.0, v / np.where(wide < 1e-21, 1.0, wide))
 
+    # A share of a bin is divided by the bin's own mass: a difference of sums near 1 has lost most digits of a tail's.
     e, t = raw.edges, target.edges
     k = np.clip(np.searchsorted(e[1:], x, side="left"), 0, len(raw.area) - 1)
-    mass = unobserved / 2 + raw.before[k] + raw.area[k] * part(x, e[k], e[k + 1])
-    upper = target.before + target.area
+    mass = unobserved / 2 + np.cumsum(raw.area)[k] - raw.area[k] + raw.area[k] * part(x - e[k], e[k + 1] - e[k])
+    upper = np.cumsum(target.area)
     j = np.clip(np.searchsorted(upper, mass, side="left"), 0, len(target.area) - 1)
-    inside = t[j] + (t[j + 1] - t[j]) * part(mass, target.before[j], upper[j])
+    inside = t[j] + (t[j + 1] - t[j]) * part(mass - upper[j] + target.area[j], target.area[j])
     wide, out = raw.central(share), target.central(share)
-    below = t[0] - part(x, e[0] - wide, e[0]) * out
-    above = t[-1] + part(x, e[-1], e[-1] + wide) * out
+    below = t[0] - part(x - e[0] + wide, wide) * out
+    above = t[-1] + part(x - e[-1], wide) * out
     return np.where(x < e[0], below, np.where(x > e[-1], above, inside))
 
 
@@ -115,8 +115,8 @@ hw AS (SELECT max(CASE WHEN upto <= 1 - 0.1585 THEN lo END) - min(CASE WHEN upto
 )
 def _(v):
     """Scores of two thirds of the segments by the histogram of the rest, to a standard normal, with 2 % of the mass unobserved."""
-    raw = observed(v.scores.where("segment % 3 = 0"), "llr", 20)
-    return warped(v.scores.where("segment % 3 <> 0"), "llr", raw, gaussian(), 0.02).select("client", "segment", r("llr", 5).alias("llr"))
+    raw = observed(v.scores_in_order.where("segment % 3 = 0"), "llr", 20)
+    return warped(v.scores_in_order.where("segment % 3 <> 0"), "llr", raw, gaussian(), 0.02).select("client", "segment", r("llr", 5).alias("llr"))
 
 
 @query("gaussian_draws", "SCA-12", """, u AS (SELECT i, (('0x' || substr(md5(i::VARCHAR || ':1'), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM range(0, 1001) t(i)) SELECT a.i AS id, round(sqrt(-2 * ln(b.u)) * cos(2 * pi() * a.u) * 2 + 1 + 3e-8, 6) AS x FROM u a JOIN u b ON b.i = a.i + 1""")

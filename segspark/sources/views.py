@@ -66,7 +66,7 @@ class Views:
         """scores, their means summed one event after the other, as SQL does on one thread.
 
         Sums of parts differ from that in the last bit, by how the rows are split; where a half is
-        rounded or equal distances are told apart, this bit decides. It costs a sort of all events.
+        rounded, equal distances are told apart or a score meets the edge of a bin, this bit decides. It costs a sort of all events.
         """
         order = Window.partitionBy("user_id", "event_type").orderBy("event_id", "ts", "value")
         upto = F.avg("value").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
