@@ -9,10 +9,12 @@ arrays with a bounded frontier. Each task returns a spanning forest of its links
 components joins these forests.
 
 `components_of` links fingerprints of one word within `budget` bits, exactly. `near_duplicates` is
-for similarity: texts are sets of shingles, in which a shingle counts once. Sets that share one of
-BANDS keys made of ROWS minimum hashes each are candidates, and two are linked if and only if the
-Jaccard similarity of the sets themselves is SIMILARITY or more. A pair at that similarity is no
-candidate with chance 7e-6, whatever the number of rows; equal sets are one from the start.
+for similarity: texts are sets of shingles, in which a shingle counts once. The trie join links sets
+whose fingerprints are within BUDGET bits; a budget that held all pairs at SIMILARITY (a tenth to a
+quarter of the bits) would prune nothing, so for those beyond BUDGET, sets that share one of BANDS
+keys made of ROWS minimum hashes each are candidates too. Two are linked if and only if the Jaccard
+similarity of the sets themselves is SIMILARITY or more. A pair at that similarity is no candidate
+with chance 7e-6 at most, whatever the number of rows; equal sets are one from the start.
 
 Edge cases: null text is empty; a text of fewer words than a shingle is one shingle; a text without
 words has fingerprint zero and is linked like any other. Repeated rows are one group. A null doc_id
@@ -290,7 +292,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """row, doc_id, text -> row, doc_id, id of the shingle set, its size, its bands, and the low bytes of its minima."""
+    """row, doc_id, text -> row, doc_id, id of the shingle set, its size, fingerprint, bands, and the low bytes of its minima."""
     prepare(rows.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,9 +305,10 @@ def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band_keys(np.stack(keys)).view(np.int64).ravel() if keys else np.zeros(0, np.int64)))
             low = iter(keys)
             marks = [next(low).astype(np.uint8).tobytes() if len(h) else b"" for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array(sizes), bands, pa.array(marks, pa.binary())], ["row", "doc_id", "id", "size", "bands", "mark"])
+            bits = np.array([fingerprint(h)[0] for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array(sizes), pa.array(bits), bands, pa.array(marks, pa.binary())], ["row", "doc_id", "id", "size", "bits", "bands", "mark"])
 
-    return rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "row long, doc_id long, id long, size int, bands array<long>, mark binary")
+    return rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "row long, doc_id long, id long, size int, bits long, bands array<long>, mark binary")
 
 
 def _fewest(least: float) -> float:
@@ -314,6 +317,19 @@ def _fewest(least: float) -> float:
     return count * least - SHORT * (count * least * (1 - least)) ** 0.5
 
 
+def _trie_pairs(sets: DataFrame, budget: int = BUDGET, per_task: int = PER_TASK) -> DataFrame:
+    """Pairs (a, b) of set ids, a < b, that span each group of fingerprints within `budget` bits: a forest, never all pairs."""
+    own = stored(sets.where("size > 0").select("id", F.col("bits").alias("key")), "simhash-bits")
+    distinct = stored(own.groupBy("key").agg(F.min("id").alias("head")), "simhash-heads")
+    rows = distinct.select(F.lit(0).alias("trie"), F.col("head").alias("id"), "key", F.expr("cast(array() as array<bigint>)").alias("more"))
+    near = _forests(rows, _prefix_bits(distinct.count(), per_task), budget, 64, None)
+    equal = own.join(distinct, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    pairs = near.unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = stored(pairs.distinct(), "simhash-near-bits")
+    discard(own, distinct)
+    return found
+
+
 def _hashes(ids: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """id, hashes: the shingle set of each of ids, as sorted 64-bit integers."""
     wanted = stored(sets.join(ids, "id").select("id", F.col("least.row").alias("row")), "simhash-wanted")
@@ -433,7 +449,8 @@ def _bucket_links(found: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray
 def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, block: int = PER_BLOCK) -> tuple[DataFrame, DataFrame]:
     """rows (row, doc_id, text) -> (row, doc_id, id) and (id, component_id: none, doc_id and row of a group's first row).
 
-    Every member of a shared key is joined to the key's hub, its member whose keys are the fullest, and
+    The trie join of the sets' fingerprints gives the first pairs to verify. For similar sets beyond
+    its budget every member of a shared key is joined to the key's hub, its member whose keys are the fullest, and
     these pairs are verified. The keys of one hub are then one crowd, in which a member counts once. Its
     members that are in another component than the hub, the few, are held against all of the crowd in
     blocks of about `block` shingles, first by their marks; one task takes the blocks of some crowds and
@@ -441,21 +458,24 @@ def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
     """
     marks = stored(_shingle_sets(rows, shingle), "simhash-sets")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    sets = stored(marks.groupBy("id").agg(F.min(first).alias("least"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("mark").alias("mark")), "simhash-distinct")
+    sets = stored(marks.groupBy("id").agg(F.min(first).alias("least"), F.min("size").alias("size"), F.min("bits").alias("bits"), F.min("bands").alias("bands"), F.min("mark").alias("mark")), "simhash-distinct")
     slim = stored(marks.select("row", "doc_id", "id"), "simhash-rows")
     discard(marks)
+    near_bits = _trie_pairs(sets)
     posts = sets.select("id", "size", F.explode("bands").alias("key"))
     shared = stored(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
     bare = stored(posts.join(shared, "key").select("key", "id", "size", "n"), "simhash-posts")
     weights = stored(bare.groupBy("id").agg(F.sum("n").alias("weight")), "simhash-weights")
-    hashes = _hashes(weights.select("id"), sets, rows, shingle)
+    linked = near_bits.select(F.explode(F.array("a", "b")).alias("id"))
+    hashes = _hashes(weights.select("id").unionByName(linked).distinct(), sets, rows, shingle)
     posts = stored(bare.join(weights, "id").select("key", "id", "size", "weight"), "simhash-weighed")
     hub = F.max_by(F.struct(F.col("id").alias("hub"), F.col("size").alias("hub_size")), F.struct("weight", "id")).alias("hub")
     keys = stored(posts.groupBy("key").agg(hub).select("key", "hub.*"), "simhash-hubs")
     crowds = stored(posts.join(keys, "key").select("hub", "hub_size", "id", "size").distinct(), "simhash-crowds")
     discard(shared, bare, weights, posts, keys)
     sizes = F.least("size", "hub_size") >= F.lit(least - 1e-9) * F.greatest("size", "hub_size")
-    pairs = stored(crowds.where("id <> hub").where(sizes).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "simhash-pairs")
+    starred = crowds.where("id <> hub").where(sizes).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    pairs = stored(starred.unionByName(near_bits).distinct(), "simhash-pairs")
     # Marks are a tenth of the sets: what they tell apart is not moved again.
     mark = lambda k, of: sets.select(F.col("id").alias(k), F.col("mark").alias(of))
     marked = stored(pairs.join(mark("a", "left"), "a"), "simhash-marked")
@@ -473,7 +493,7 @@ def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
     searchers = split.where("few and si * sj > 1").withColumn("i", cut("si", 1)).withColumn("j", every("sj")).withColumn("side", F.lit(0))
     others = split.withColumn("j", cut("sj", 2)).withColumn("i", every("si")).withColumn("side", F.lit(1))
     dealt = stored(searchers.unionByName(others).select("hub", "i", "j", "side", "few", "id", "root", "size"), "simhash-dealt")
-    discard(crowds, pairs, marked, likely, roots, rooted, hubs, members, apart)
+    discard(near_bits, crowds, pairs, marked, likely, roots, rooted, hubs, members, apart)
     total = dealt.agg(F.sum("size")).first()[0]
     if total:
         buckets = -(-total // (4 * block))

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from segspark.llm import components, gif, html_extract, sharding, simhash, warc_store
@@ -247,6 +248,50 @@ def test_dedup_keeps_a_row_of_each_group(spark):
     assert len(got) == 3 and kept == {(1, a[0]), (1, b[0]), (None, c[0])}
 
 
+@pytest.mark.parametrize("per_task", [1 << 12, 4])
+def test_trie_pairs_span_the_groups_within_the_budget(spark, per_task):
+    rng = random.Random(13)
+    rows = [(i, bits, n) for i, bits, n in enumerate_marks(rng)]
+    pairs = [(r["a"], r["b"]) for r in simhash._trie_pairs(spark.createDataFrame(rows, "id long, bits long, size int"), per_task=per_task).collect()]
+    mark = {i: bits % (1 << 64) for i, bits, n in rows if n}
+    want = groups(mark, [(i, j) for i in mark for j in mark if j < i and (mark[i] ^ mark[j]).bit_count() <= simhash.BUDGET])
+    assert all(a < b for a, b in pairs) and len(pairs) < 2 * len(mark)
+    assert groups(mark, pairs) == want and 20 < len(set(want.values())) < len(mark) - 40
+
+
+def enumerate_marks(rng):
+    """(id, bits, size): some equal fingerprints, some within the budget, some just beyond, some of empty sets."""
+    found = []
+    for _ in range(30):
+        bits = rng.getrandbits(64)
+        for flips in (0, 0, 1, 2, 3, 4):
+            near = bits
+            for at in rng.sample(range(64), flips):
+                near ^= 1 << at
+            found.append((len(found), near - (1 << 64) if near >> 63 else near, 5))
+    return [*found, (len(found), 0, 0), (len(found) + 1, 0, 0)]
+
+
+def test_dedup_takes_its_first_pairs_from_the_trie(spark, monkeypatch):
+    rng, seen = random.Random(14), []
+    base = [f"w{rng.randrange(10**9)}" for _ in range(2000)]
+    texts = [" ".join(base), " ".join(base[:-1] + ["z"]), " ".join(f"w{rng.randrange(10**9)}" for _ in range(300)), ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    forests = simhash._forests
+
+    def spy(rows, *more):
+        seen.append({r["key"] % (1 << 64) for r in rows.collect()})
+        return forests(rows, *more)
+
+    monkeypatch.setattr(simhash, "_forests", spy)
+    # Without keys of minima, all pairs are the trie's.
+    posts = simhash._shingle_sets
+    monkeypatch.setattr(simhash, "_shingle_sets", lambda *a: posts(*a).withColumn("bands", F.expr("cast(array() as array<bigint>)")))
+    got = {r["doc_id"] for r in corpus_pipeline.dedup(spark, docs, "").collect()}
+    assert seen == [{int(simhash.fingerprint(np.unique(simhash.shingle_hashes(t, 5)))[0]) for t in texts[:3]}]
+    assert got == {0, 2, 3}
+
+
 def test_components_of_a_hub_and_a_chain(spark):
     links = [(1, i) for i in range(2, 200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
